@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+def quoted(name: str) -> Column:
+    """The column of that exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def labelled(frame: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
     """The listed (label, key) columns in order, labels as column metadata.
 
@@ -22,8 +27,8 @@ def _cell(frame: DataFrame, key: str) -> Column:
     if key not in frame.columns:
         return F.lit(None).cast("string")
     if isinstance(frame.schema[key].dataType, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(key, "yyyy-MM-dd HH:mm:ss")
-    return F.col(key)
+        return F.date_format(quoted(key), "yyyy-MM-dd HH:mm:ss")
+    return quoted(key)
 
 
 def column_widths(frame: DataFrame, cap: int = 40) -> DataFrame:
@@ -35,16 +40,16 @@ def column_widths(frame: DataFrame, cap: int = 40) -> DataFrame:
     widths = []
     for field in frame.schema:
         label = (field.metadata or {}).get("label", field.name)
-        longest = F.max(F.when(_filled(field), F.length(F.col(f"`{field.name}`").cast("string"))))
+        longest = F.max(F.when(_filled(field), F.length(quoted(field.name).cast("string"))))
         width = F.greatest(F.coalesce(longest, F.lit(0)), F.lit(len(label))) + 2
         widths.append(F.least(width, F.lit(cap)).alias(field.name))
     return frame.agg(*widths).unpivot(
-        [], [F.col(f"`{c}`") for c in frame.columns], "columna", "ancho"
+        [], [quoted(c) for c in frame.columns], "columna", "ancho"
     )
 
 
 def _filled(field: T.StructField) -> Column:
-    cell = F.col(f"`{field.name}`")
+    cell = quoted(field.name)
     if isinstance(field.dataType, T.NumericType):
         return cell != 0
     if isinstance(field.dataType, T.StringType):

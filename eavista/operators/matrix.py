@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from eavista.operators.layout import quoted
 from eavista.operators.ranking import with_position
 
 # A matrix has one column per period; more than this is better read in long form.
@@ -14,10 +15,6 @@ TOTAL = "total_general"
 TOTAL_LABEL = "Total general"
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def column_values(frame: DataFrame) -> list[str]:
     """The sorted values of a one-column frame, to become column names."""
     rows = frame.limit(MOST_COLUMNS + 1).collect()

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from eavista.operators.layout import quoted
+
 
 def total_row(frame: DataFrame, label_column: str, label: str, sums: Sequence[str]) -> DataFrame:
     """One row of sums over the whole frame; sums of nothing are 0."""
@@ -14,7 +16,7 @@ def total_row(frame: DataFrame, label_column: str, label: str, sums: Sequence[st
     row = frame.agg(*added.values())
     return row.select(*[
         F.lit(label).alias(c) if c == label_column
-        else F.col(f"`{c}`") if c in added
+        else quoted(c) if c in added
         else F.lit(None).cast(kinds[c]).alias(c)
         for c in frame.columns
     ])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from eavista.functions.scalars import blank_if_zero
-from eavista.operators.totals import nested_rows
+from eavista.operators.totals import nested_rows, total_row
 from eavista.plans.statistics import APPROVED, formal_projects
 from eavista.sources.tables import Tables
 
@@ -36,25 +36,33 @@ def with_subtotals(rows: DataFrame) -> DataFrame:
     """A row per period, its modalities below, a grand total; made from the counted rows.
 
     ``grupo`` tells a subtotal (1) or the total (3) from a detail row (0) whose
-    modality is NULL. A zero count of approvals shows as blank but in the total.
+    modality is NULL. A zero count of approvals shows as blank but in the total,
+    which is there, as zeros, even without projects.
     """
-    rolled = rows.rollup("periodo", "modalidad").agg(
-        F.grouping_id().cast("int").alias("grupo"),
-        F.sum("cantidad").alias("cantidad"),
-        F.sum("aprobados").alias("aprobados"),
+    amounts = ["cantidad", "aprobados"]
+    levels = rows.groupingSets([["periodo", "modalidad"], ["periodo"]], "periodo", "modalidad").agg(
+        F.grouping_id().cast("int").alias("grupo"), *[F.sum(a).alias(a) for a in amounts]
     )
-    group = F.col("grupo")
-    label = F.when(group == ALL, TOTAL_LABEL).when(group == PERIOD, F.col("periodo"))
-    shown = F.when(group == ALL, F.col("aprobados")).otherwise(blank_if_zero(F.col("aprobados")))
-    return rolled.select(
+    period = F.when(F.col("grupo") == PERIOD, F.col("periodo"))
+    labelled = levels.select(
         "grupo",
         "periodo",
         "modalidad",
-        label.otherwise(F.col("modalidad")).alias("etiqueta"),
-        "cantidad",
-        "aprobados",
-        shown.alias("aprobados_visible"),
+        F.when(F.col("grupo") == DETAIL, F.col("modalidad")).otherwise(period).alias("etiqueta"),
+        *amounts,
+        blank_if_zero(F.col("aprobados")).alias("aprobados_visible"),
     )
+    total = total_row(
+        rows.select("modalidad", *amounts), "modalidad", TOTAL_LABEL, amounts
+    ).select(
+        F.lit(ALL).alias("grupo"),
+        F.lit(None).cast("string").alias("periodo"),
+        F.lit(None).cast("string").alias("modalidad"),
+        F.col("modalidad").alias("etiqueta"),
+        *amounts,
+        F.col("aprobados").alias("aprobados_visible"),
+    )
+    return labelled.unionByName(total)
 
 
 def hierarchy(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from eavista.operators.attributes import attribute_rows, first, greatest
 from eavista.operators.filters import projects_of
-from eavista.operators.matrix import column_values, matrix_total, period_matrix, side_by_side
+from eavista.operators.layout import labelled
+from eavista.operators.matrix import (
+    TOTAL,
+    TOTAL_LABEL,
+    column_values,
+    matrix_total,
+    period_matrix,
+    side_by_side,
+)
 from eavista.operators.references import project_frame
 from eavista.plans.general import FORMAL
 from eavista.sources.shared import materialized
@@ -99,7 +107,9 @@ def professor_report(tables: Tables) -> dict[str, DataFrame]:
     periods = periods_of(tables)
     out = {"periodos": period_list(tables)}
     for section, name in zip(SECTIONS, ("directores", "evaluadores")):
-        out[name] = section_matrix(cells, section, periods).orderBy("nombre")
-        out[f"{name}_total"] = section_total(cells, section, periods)
+        columns = [(section.upper(), "nombre"), *[(p, p) for p in periods], (TOTAL_LABEL, TOTAL)]
+        matrix = section_matrix(cells, section, periods).orderBy("nombre")
+        out[name] = labelled(matrix, columns)
+        out[f"{name}_total"] = labelled(section_total(cells, section, periods), columns)
     out["lado_a_lado"] = zipped(cells, periods)
     return out

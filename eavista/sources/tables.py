@@ -147,11 +147,10 @@ def write_files(tables: Tables, path: str) -> None:
     names; projects by type. Rebalancing splits an attribute or type that holds
     much of the data over many files and keeps small ones in one.
     """
-    layout = {"valores_campos": "campo_id", "solicitudes": "tipo_solicitud_id"}
+    layout = {"valores_campos": ["campo_id"], "solicitudes": ["tipo_solicitud_id"]}
     for name in table_names():
         frame = getattr(tables, name)
-        if name in layout:
-            column = layout[name]
-            frame.hint("rebalance", column).write.partitionBy(column).parquet(f"{path}/{name}")
-        else:
-            frame.write.parquet(f"{path}/{name}")
+        columns = layout.get(name, [])
+        if name in RANGE_COLUMN:
+            frame = frame.hint("rebalance", *columns)
+        frame.write.partitionBy(*columns).parquet(f"{path}/{name}")
