@@ -22,3 +22,18 @@ def spark():
 @pytest.fixture(scope="session")
 def tables(spark):
     return derived_tables(spark, SF_DIR)
+
+
+@pytest.fixture
+def settings(spark):
+    """Set session settings for one test."""
+    before = {}
+
+    def change(values):
+        for key, value in values.items():
+            before.setdefault(key, spark.conf.get(key))
+            spark.conf.set(key, value)
+
+    yield change
+    for key, value in before.items():
+        spark.conf.set(key, value)

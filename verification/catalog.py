@@ -17,7 +17,7 @@ from eavista.operators.milestones import KINDS, first_milestones, with_deadlines
 from eavista.operators.references import ROLES, project_frame
 from eavista.plans import general, insurance, modality, professors, statistics
 from eavista.plans.beneficiaries import beneficiary_report
-from eavista.sources.shared import shared_folder
+from eavista.sources.shared import materialized, shared_folder
 from eavista.sources.sink import read_section, write_report
 from eavista.sources.tables import Tables
 
@@ -197,7 +197,7 @@ def widths(t: Tables) -> DataFrame:
 
 def sink_roundtrip(t: Tables) -> DataFrame:
     """Write the three statistics sections, read them back, show key and first number."""
-    cells = statistics.committee_cells(t)
+    cells = materialized(statistics.committee_cells(t))
     sections = {
         "por_semestre": statistics.by_semester(cells),
         "aprobacion": statistics.by_approval(cells),

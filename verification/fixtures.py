@@ -60,16 +60,21 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     made = {
         "solicitudes": _projects(orders),
         "valores_campos": _values(orders),
-        "campos": spark.createDataFrame(ATTRIBUTES, "id int, tipo_solicitud_id int, name string"),
+        "campos": _literal(spark, ATTRIBUTES, "id, tipo_solicitud_id, name"),
         "users": _users(given("customer")),
         "niveles": given("region").selectExpr("r_regionkey + 1 AS id", "r_name AS nombre"),
         "modalidades": given("nation").selectExpr("n_nationkey + 1 AS id", "n_name AS nombre"),
-        "tipos_solicitudes": spark.createDataFrame(TYPES, "id int, nombre string"),
+        "tipos_solicitudes": _literal(spark, TYPES, "id, nombre"),
         "actas": _milestones(given("lineitem")),
     }
     return Tables.load(made.__getitem__)
 
 
+def _literal(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """An inline table, whose size Spark knows."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, rows))} AS t({columns})")
+
+
 def _choice(column: str, choices: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for value, text in choices.items():
