@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # A JSON string literal, or a brace that opens or closes an object.
@@ -23,14 +25,23 @@ def json_string_members(text: Column) -> Column:
     an array at any depth of nested arrays. Numbers and strings inside objects do
     not count.
     """
-    document = F.try_parse_json(text)
-    items = F.coalesce(F.try_variant_get(document, "$", "array<variant>"), F.array(document))
-    strings = F.transform(
-        F.filter(items, lambda item: F.schema_of_variant(item) == "STRING"),
-        lambda item: item.cast("string"),
-    )
-    nested = F.exists(items, lambda item: F.schema_of_variant(item).startswith("ARRAY"))
-    return F.when(document.isNotNull(), F.when(nested, _strings_outside_objects(text)).otherwise(strings))
+
+    def members(items: Column) -> Column:
+        strings = F.filter(items, lambda item: F.schema_of_variant(item) == "STRING")
+        nested = F.exists(items, lambda item: F.schema_of_variant(item).startswith("ARRAY"))
+        flat = F.transform(strings, lambda item: item.cast("string"))
+        return F.when(nested, _strings_outside_objects(text)).otherwise(flat)
+
+    def of_document(document: Column) -> Column:
+        items = F.coalesce(F.try_variant_get(document, "$", "array<variant>"), F.array(document))
+        return F.when(document.isNotNull(), _bind(items, members))
+
+    return _bind(F.try_parse_json(text), of_document)
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _strings_outside_objects(text: Column) -> Column:

@@ -54,37 +54,40 @@ def attribute_rows(values: DataFrame, campos: DataFrame, *attributes: Attribute)
 
 
 def pivot_attributes(
-    values: DataFrame,
-    campos: DataFrame,
-    attributes: Mapping[str, Attribute],
-    count_all: str | None = None,
-    count_phase: Mapping[str, int] | None = None,
+    values: DataFrame, campos: DataFrame, attributes: Mapping[str, Attribute]
 ) -> DataFrame:
     """One row per project that has any wanted value, one column per attribute.
 
-    ``count_all`` names a column for the number of values of known attributes,
-    ``count_phase`` columns for the number of values of a phase. The attribute
-    conditions are evaluated on the catalog, so each value row only meets flags;
-    aggregation is partial before the single shuffle by project, which also keeps
-    a project with very many values from landing in one task unreduced.
+    The attribute conditions are evaluated on the catalog, so each value row only
+    meets flags, and values of other attributes are never read from a layout by
+    attribute. Aggregation is partial before the single shuffle by project, which
+    also keeps a project with very many values from landing in one task unreduced.
     """
-    count_phase = count_phase or {}
     flags = {f"is_{column}": spec.matches() for column, spec in attributes.items()}
-    flags |= {f"is_{c}": F.col("tipo_solicitud_id") == phase for c, phase in count_phase.items()}
-    wanted = campos if count_all else campos.filter(any_of(list(flags.values())))
-    catalog = wanted.select(
+    catalog = campos.filter(any_of(list(flags.values()))).select(
         F.col("id").alias("campo_id"),
         *[condition.alias(flag) for flag, condition in flags.items()],
     )
     reduced = [_reduce(column, spec) for column, spec in attributes.items()]
-    reduced += [F.count(F.when(F.col(f"is_{c}"), 1)).alias(c) for c in count_phase]
-    if count_all:
-        reduced.append(F.count(F.lit(1)).alias(count_all))
     wide = values.join(catalog, "campo_id").groupBy("solicitud_id").agg(*reduced)
     ids = {c: unsigned_cast(F.col(c)) for c, spec in attributes.items() if spec.reduce == "reference"}
     return wide.withColumns(ids) if ids else wide
 
 
+def count_values(
+    values: DataFrame, campos: DataFrame, column: str, phase: int | None = None
+) -> DataFrame:
+    """(project, ``column``): its number of values of known attributes, of one phase or of any.
+
+    Apart from the pivot because it needs every attribute but no text: it reads
+    the ids only and sums them up by hash.
+    """
+    if phase is not None:
+        campos = campos.filter(F.col("tipo_solicitud_id") == phase)
+    known = values.join(campos.select(F.col("id").alias("campo_id")), "campo_id")
+    return known.groupBy("solicitud_id").agg(F.count(F.lit(1)).alias(column))
+
+
 def _reduce(column: str, spec: Attribute) -> Column:
     flag = F.col(f"is_{column}")
     if spec.reduce == "greatest":

@@ -12,7 +12,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from eavista.operators.attributes import Attribute, greatest, pivot_attributes, reference
+from eavista.operators.attributes import (
+    Attribute,
+    count_values,
+    greatest,
+    pivot_attributes,
+    reference,
+)
 from eavista.operators.filters import projects_of
 from eavista.operators.skew import SPREAD_FROM_BYTES, spread_join
 from eavista.sources.shared import estimated_bytes, fits_broadcast
@@ -112,16 +118,16 @@ def project_frame(
     modalities: bool = False,
     people: Mapping[str, Sequence[str]] | None = None,
     idea_title: bool = False,
-    count_all: str | None = None,
-    count_phase: Mapping[str, int] | None = None,
+    counts: Mapping[str, int | None] | None = None,
     beside: Sequence[DataFrame] = (),
     broadcast_people: bool | None = None,
 ) -> DataFrame:
     """``projects`` with their attributes and resolved references, one row per project.
 
-    Everything keyed by project (the pivot, idea titles, people beyond the
-    broadcast threshold, and the frames in ``beside``) joins on one partitioning
-    by project id.
+    ``counts`` names columns for the number of values of a phase, or of any
+    (None). Everything keyed by project (the pivot, the counts, idea titles,
+    people beyond the broadcast threshold, and the frames in ``beside``) joins on
+    one partitioning by project id.
     """
     people = people or {}
     specs = dict(attributes or {})
@@ -133,10 +139,10 @@ def project_frame(
     if people and small:
         specs |= people_columns(people)
     keyed = list(beside)
-    if specs or count_all or count_phase:
-        keyed.insert(
-            0, pivot_attributes(tables.valores_campos, tables.campos, specs, count_all, count_phase)
-        )
+    if specs:
+        keyed.append(pivot_attributes(tables.valores_campos, tables.campos, specs))
+    for column, phase in (counts or {}).items():
+        keyed.append(count_values(tables.valores_campos, tables.campos, column, phase))
     if people and not small:
         keyed.append(people_by_project(tables, people))
     if idea_title:

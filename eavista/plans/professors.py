@@ -52,7 +52,7 @@ def workload(
         projects_of(tables.solicitudes, FORMAL).select("id"),
         attributes={"periodo": greatest("periodo"), "periodo_grupo": PERIOD},
         people={section: ("name",) for section in sections},
-        count_all="n_valores",
+        counts={"n_valores": None},
         broadcast_people=broadcast_people,
     )
     people = F.array(*[

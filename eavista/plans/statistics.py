@@ -62,7 +62,7 @@ def formal_projects(tables: Tables, **wanted) -> DataFrame:
         tables,
         projects_of(tables.solicitudes, FORMAL).select("id", "estado"),
         attributes={"periodo": greatest("periodo", FORMAL)},
-        count_phase={"valores_fase": FORMAL},
+        counts={"valores_fase": FORMAL},
         **wanted,
     )
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from eavista.operators.attributes import first, greatest, pivot_attributes, reference
+from eavista.operators.attributes import count_values, first, greatest, pivot_attributes, reference
 from eavista.operators.layout import column_widths, labelled
 from eavista.operators.references import project_frame
 from eavista.plans import modality, professors, statistics
@@ -34,12 +34,17 @@ def test_first_value_is_smallest_attribute_then_text(spark):
     wide = pivot_attributes(
         t.valores_campos, t.campos,
         {"texto": first("nivel", 2), "ref": reference("nivel", 2), "mayor": greatest("nivel")},
-        count_all="n", count_phase={"n2": 2},
     )
-    assert sorted(rows_of(wide.select("solicitud_id", "texto", "ref", "mayor", "n", "n2"))) == [
-        (1, "7", 7, "9", 4, 3),
-        (2, None, None, "4", 2, 2),
-    ]
+    assert sorted(rows_of(wide)) == [(1, "7", 7, "9"), (2, None, None, "4")]
+
+
+def test_counts_of_known_attributes(spark):
+    t = tiny_tables(
+        spark, campos=[(1, 2, "a"), (2, 3, "b")],
+        valores_campos=[(1, 1, "x"), (1, 1, "x"), (1, 2, None), (1, 9, "x"), (2, 2, "y"), (3, 9, "z")],
+    )
+    assert sorted(rows_of(count_values(t.valores_campos, t.campos, "n"))) == [(1, 3), (2, 1)]
+    assert rows_of(count_values(t.valores_campos, t.campos, "n", phase=2)) == [(1, 2)]
 
 
 def test_reference_text_is_cast_like_an_unsigned(spark):
