@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eavista.functions.scalars import unsigned_cast
 
 
+# One bit of a bigint each.
+MOST_ATTRIBUTES = 62
+
+
 @dataclass(frozen=True)
 class Attribute:
     """An attribute by name, within one phase or in any, and how to reduce its values.
@@ -58,17 +62,24 @@ def pivot_attributes(
 ) -> DataFrame:
     """One row per project that has any wanted value, one column per attribute.
 
-    The attribute conditions are evaluated on the catalog, so each value row only
-    meets flags, and values of other attributes are never read from a layout by
-    attribute. Aggregation is partial before the single shuffle by project, which
-    also keeps a project with very many values from landing in one task unreduced.
+    The attribute conditions are evaluated on the catalog, which gives each
+    attribute id a mask of the columns it feeds: a value row carries one number
+    through the sort, and values of other attributes are never read from a layout
+    by attribute. Aggregation is partial before the single shuffle by project,
+    which also keeps a project with very many values from landing in one task
+    unreduced.
     """
-    flags = {f"is_{column}": spec.matches() for column, spec in attributes.items()}
-    catalog = campos.filter(any_of(list(flags.values()))).select(
-        F.col("id").alias("campo_id"),
-        *[condition.alias(flag) for flag, condition in flags.items()],
+    if len(attributes) > MOST_ATTRIBUTES:
+        raise ValueError(f"more than {MOST_ATTRIBUTES} attributes in one pivot")
+    conditions = [spec.matches() for spec in attributes.values()]
+    bits = [F.when(condition, 1 << i).otherwise(0) for i, condition in enumerate(conditions)]
+    catalog = campos.filter(any_of(conditions)).select(
+        F.col("id").alias("campo_id"), reduce(add, bits).cast("bigint").alias("mask")
     )
-    reduced = [_reduce(column, spec) for column, spec in attributes.items()]
+    reduced = [
+        _reduced(spec, F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(column)
+        for i, (column, spec) in enumerate(attributes.items())
+    ]
     wide = values.join(catalog, "campo_id").groupBy("solicitud_id").agg(*reduced)
     ids = {c: unsigned_cast(F.col(c)) for c, spec in attributes.items() if spec.reduce == "reference"}
     return wide.withColumns(ids) if ids else wide
@@ -88,9 +99,7 @@ def count_values(
     return known.groupBy("solicitud_id").agg(F.count(F.lit(1)).alias(column))
 
 
-def _reduce(column: str, spec: Attribute) -> Column:
-    flag = F.col(f"is_{column}")
+def _reduced(spec: Attribute, wanted: Column) -> Column:
     if spec.reduce == "greatest":
-        return F.max(F.when(flag, F.col("valor"))).alias(column)
-    picked = F.min(F.when(flag, F.struct("campo_id", "valor")))
-    return picked.getField("valor").alias(column)
+        return F.max(F.when(wanted, F.col("valor")))
+    return F.min(F.when(wanted, F.struct("campo_id", "valor"))).getField("valor")

@@ -23,9 +23,15 @@ from eavista.sources.shared import materialized
 from eavista.sources.tables import Tables
 
 SECTIONS = ("director", "evaluador")
-TITLE = "Dinámica de Profesores - Trabajos de Grado"
 PERIOD = first("periodo", FORMAL)
 
+# Titles.
+TITLE = "Dinámica de Profesores - Trabajos de Grado"
+SECTION_TITLES = {
+    "directores": "ASIGNACIÓN DE DIRECCIÓN DE TRABAJO DE GRADO",
+    "evaluadores": "ASIGNACIÓN DE EVALUADOR DE TRABAJO DE GRADO",
+}
+
 
 def period_list(tables: Tables) -> DataFrame:
     """Every phase period stored, whatever its project's type or state."""

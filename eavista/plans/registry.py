@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +14,12 @@ from eavista.sources.sink import write_report
 from eavista.sources.tables import Tables
 
 
-
 @dataclass(frozen=True)
 class Report:
     title: str
     build: Callable[..., dict[str, DataFrame]]
     filters: tuple[str, ...] = ()
+    section_titles: Mapping[str, str] = field(default_factory=dict)
 
 
 def _general(tables: Tables, **filters) -> dict[str, DataFrame]:
@@ -59,8 +59,12 @@ REPORTS: dict[str, Report] = {
     ),
     "arl_report": Report(insurance.TITLE, _insurance),
     "beneficiarios_tyt_report": Report(beneficiaries.TITLE, _beneficiaries),
-    "estadisticas_report": Report(statistics.TITLE, _statistics),
-    "dinamica_profesores_report": Report(professors.TITLE, professors.professor_report),
+    "estadisticas_report": Report(
+        statistics.TITLE, _statistics, section_titles=statistics.SECTION_TITLES
+    ),
+    "dinamica_profesores_report": Report(
+        professors.TITLE, professors.professor_report, section_titles=professors.SECTION_TITLES
+    ),
     "dinamica_modalidad_report": Report(modality.TITLE, _modality),
 }
 
@@ -87,4 +91,7 @@ def export_report(
 ) -> dict[str, str]:
     """Run a report and write its sections under ``base``; returns the paths."""
     sections = run_report(spark, name, tables, **filters)
-    return write_report(sections, base, name, run_id, REPORTS[name].title, file_format)
+    report = REPORTS[name]
+    return write_report(
+        sections, base, name, run_id, report.title, file_format, report.section_titles
+    )

@@ -27,7 +27,13 @@ APPROVED = ["Fase 4", "Fase 5", "Finalizado"]
 REJECTED = "Rechazada"
 TECHNOLOGY, ENGINEERING = 1, 2
 
+# Titles and (label, key) columns.
 TITLE = "Estadísticas a presentar en comité curricular"
+SECTION_TITLES = {
+    "por_semestre": "Resumen por semestre",
+    "aprobacion": "Aprobación de propuestas por semestre",
+    "por_modalidad": "Distribución por modalidad y programa",
+}
 SECTION_LABELS = {
     "por_semestre": [
         ("Semestre", "periodo"),

@@ -23,11 +23,12 @@ def write_report(
     run_id: str,
     title: str = "",
     file_format: str = "parquet",
+    section_titles: Mapping[str, str] | None = None,
 ) -> dict[str, str]:
     """Write each section under ``base`` and return the paths.
 
     A run id is written once: a second write with it fails and changes nothing.
-    The title, and each column's key, label and position, go to a section of
+    The titles, and each column's key, label and position, go to a section of
     their own. An empty section is written with its schema and logged.
     """
     paths = {}
@@ -37,7 +38,7 @@ def write_report(
     spark = next(iter(sections.values())).sparkSession
     if COLUMNS_SECTION not in sections:
         paths[COLUMNS_SECTION] = section_path(base, report, run_id, COLUMNS_SECTION)
-        _writer(_column_list(spark, sections, title).coalesce(1), file_format).save(
+        _writer(_column_list(spark, sections, title, section_titles or {}), file_format).save(
             paths[COLUMNS_SECTION]
         )
     for section, frame in sections.items():
@@ -63,11 +64,20 @@ def _writer(frame: DataFrame, file_format: str):
     return writer.option("ignoreNullFields", False)
 
 
-def _column_list(spark: SparkSession, sections: Mapping[str, DataFrame], title: str) -> DataFrame:
+def _column_list(
+    spark: SparkSession,
+    sections: Mapping[str, DataFrame],
+    title: str,
+    section_titles: Mapping[str, str],
+) -> DataFrame:
     rows = [
-        (title, section, position, field.name, (field.metadata or {}).get("label", field.name))
+        (title, section, section_titles.get(section, ""), position, field.name,
+         (field.metadata or {}).get("label", field.name))
         for section, frame in sections.items()
         for position, field in enumerate(frame.schema)
     ]
-    schema = "titulo string, seccion string, posicion int, clave string, etiqueta string"
-    return spark.createDataFrame(rows, schema).withColumn("escrito", F.unix_timestamp())
+    schema = (
+        "titulo string, seccion string, titulo_seccion string, posicion int, clave string, "
+        "etiqueta string"
+    )
+    return spark.createDataFrame(rows, schema).coalesce(1).withColumn("escrito", F.unix_timestamp())
