@@ -14,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4)
+    session = local_session(4, partitions=2)
     yield session
     session.stop()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eavista.operators.attributes import count_values, first, greatest, pivot_attributes, reference
 from eavista.operators.layout import column_widths, labelled
+from eavista.operators.members import beneficiaries
 from eavista.operators.references import project_frame
 from eavista.plans import modality, professors, statistics
 from eavista.plans.beneficiaries import beneficiary_report
@@ -48,8 +49,14 @@ def test_counts_of_known_attributes(spark):
 
 
 def test_reference_text_is_cast_like_an_unsigned(spark):
-    for text, name in [("1abc", "Tecnología"), (" 2", "Ingeniería"), ("x", None), ("", None), (None, None)]:
-        assert general_row(spark, valores_campos=[(1, 204, text)]).nivel == name
+    cases = [("1abc", "Tecnología"), (" 2", "Ingeniería"), ("x", None), ("", None), (None, None)]
+    t = tiny_tables(
+        spark,
+        solicitudes=[project(i) for i in range(5)],
+        valores_campos=[(i, 204, text) for i, (text, _) in enumerate(cases)],
+    )
+    levels = project_frame(t, t.solicitudes.select("id"), levels=True).orderBy("id")
+    assert column(levels, "nivel") == [name for _, name in cases]
 
 
 def test_scoped_and_unscoped_attributes(spark):
@@ -60,12 +67,14 @@ def test_scoped_and_unscoped_attributes(spark):
 
 
 def test_title_falls_back_to_a_live_idea(spark):
-    values = [(1, 201, ""), (1, 301, "7"), (7, 101, "La idea")]
-    cases = [(project(7, 1), "La idea"), (project(7, 1, deleted=DAY), None), (project(7, 2), None)]
-    for idea, title in cases:
-        t = tiny_tables(spark, solicitudes=[project(1), idea], valores_campos=values)
-        found = general_report(t).filter("id = 1")
-        assert column(found, "titulo") == [title]
+    ideas = [project(11, 1), project(12, 1, deleted=DAY), project(13, 3), project(14, 1)]
+    values = [(14, 101, "Otra idea"), (4, 201, "Propio"), (4, 301, "14")]
+    for i in (1, 2, 3):
+        values += [(i, 201, ""), (i, 301, str(10 + i)), (10 + i, 101, f"Idea {i}")]
+    t = tiny_tables(
+        spark, solicitudes=[project(i) for i in (1, 2, 3, 4)] + ideas, valores_campos=values
+    )
+    assert column(general_report(t), "titulo") == ["Idea 1", None, None, "Propio"]
 
 
 def test_project_without_values_stays_in_the_general_report(spark):
@@ -160,15 +169,17 @@ def beneficiary_rows(spark, **rows):
 
 
 def test_beneficiaries_match_string_elements_only(spark):
-    for text, names in [
-        ('["1"]', ["User 1"]), ("[1]", []), ('"1"', ["User 1"]), ('[["1"]]', ["User 1"]),
-        ('{"a":"1"}', []), ("", []), ("bad", []), ('["2","1","7"]', ["User 1", "User 2"]), ('["01"]', []),
-    ]:
-        found = beneficiary_rows(
-            spark, solicitudes=[project(1, 3)],
-            valores_campos=[(1, 206, "1"), (1, 207, "2"), (1, 601, text)],
-        )
-        assert [r[0] for r in found] == names, text
+    cases = [
+        ('["1"]', [1]), ("[1]", []), ('"1"', [1]), ('[["1"]]', [1]), ('{"a":"1"}', []), ("", []),
+        ("bad", []), ('["2","1","7"]', [1, 2]), ('["01"]', []), (None, []),
+    ]
+    values = []
+    for i, (text, _) in enumerate(cases):
+        values += [(i, 206, "1"), (i, 207, "2"), (i, 601, text)]
+    t = tiny_tables(spark, solicitudes=[project(1)], valores_campos=values)
+    assert sorted(rows_of(beneficiaries(t))) == [
+        (i, user_id) for i, (_, ids) in enumerate(cases) for user_id in ids
+    ]
 
 
 def test_beneficiaries_concat_with_null_is_null(spark):

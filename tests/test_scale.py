@@ -41,6 +41,7 @@ def test_a_hot_key_reaches_many_tasks(spark, settings):
     settings({
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "4",
     })
     many = spark.range(20000).select(F.when(F.col("id") < 30000, 1).otherwise(2).alias("k"), "id")
     one = spark.range(1, 2).select(F.col("id").alias("k"), F.lit(2).alias("w"))

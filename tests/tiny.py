@@ -4,18 +4,30 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
+
 from eavista.sources.tables import Tables
 from verification.fixtures import ATTRIBUTES, TYPES
 
-SCHEMAS = {
-    "solicitudes": "id long, tipo_solicitud_id int, estado string, created_at timestamp_ntz, deleted_at timestamp_ntz",
-    "valores_campos": "solicitud_id long, campo_id int, valor string",
-    "campos": "id int, tipo_solicitud_id int, name string",
-    "users": "id long, name string, nro_documento string, nro_celular string, email string",
-    "niveles": "id int, nombre string",
-    "modalidades": "id int, nombre string",
-    "tipos_solicitudes": "id int, nombre string",
-    "actas": "id long, proyecto_id long, descripcion string, numero string, fecha date, deleted_at timestamp_ntz",
+MOMENT = pa.timestamp("us")
+TYPES_OF = {
+    "solicitudes": {
+        "id": pa.int64(), "tipo_solicitud_id": pa.int32(), "estado": pa.string(),
+        "created_at": MOMENT, "deleted_at": MOMENT,
+    },
+    "valores_campos": {"solicitud_id": pa.int64(), "campo_id": pa.int32(), "valor": pa.string()},
+    "campos": {"id": pa.int32(), "tipo_solicitud_id": pa.int32(), "name": pa.string()},
+    "users": {
+        "id": pa.int64(), "name": pa.string(), "nro_documento": pa.string(),
+        "nro_celular": pa.string(), "email": pa.string(),
+    },
+    "niveles": {"id": pa.int32(), "nombre": pa.string()},
+    "modalidades": {"id": pa.int32(), "nombre": pa.string()},
+    "tipos_solicitudes": {"id": pa.int32(), "nombre": pa.string()},
+    "actas": {
+        "id": pa.int64(), "proyecto_id": pa.int64(), "descripcion": pa.string(),
+        "numero": pa.string(), "fecha": pa.date32(), "deleted_at": MOMENT,
+    },
 }
 DAY = dt.datetime(2024, 3, 1)
 
@@ -37,7 +49,14 @@ def tiny_tables(spark, **rows) -> Tables:
         "users": [user(i) for i in range(1, 6)],
         **rows,
     }
-    return Tables.load(lambda name: spark.createDataFrame(rows.get(name, []), SCHEMAS[name]))
+
+    def table(name):
+        kinds = TYPES_OF[name]
+        columns = list(zip(*rows[name])) if rows.get(name) else [[] for _ in kinds]
+        arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds.values())]
+        return spark.createDataFrame(pa.table(arrays, names=list(kinds)))
+
+    return Tables.load(table)
 
 
 def rows_of(frame) -> list[tuple]:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str | int = 8) -> SparkSession:
+def local_session(cores: str | int = 8, partitions: int | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("eavista")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
+        .config("spark.sql.shuffle.partitions", str(partitions or (cores if str(cores).isdigit() else 8)))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
