@@ -6,7 +6,9 @@
 2. The owner decodes the codes of all tasks and answers each with a bitmap: which of
    its fingerprints another task has too.
 3. Only rows that a bitmap (or the task itself) marks are suspects. Their texts are
-   grouped byte by byte, so that equal fingerprints of different texts part again.
+   grouped byte by byte, so that equal fingerprints of different texts part again. A
+   text reaches that shuffle if a small table of the suspects' fingerprints has its
+   place (see ``marked``); a text let through in vain is a group of one.
 
 A text that a third of all rows share travels once per task in every step: the code
 holds distinct fingerprints, and the grouping of texts is pre-aggregated.
@@ -27,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eavista.llm.marked import bitmap, without
 from eavista.llm.shared import blobs, partitions, stored
 
 # Rows that a task sorts at a time; more become further sources with codes of their own.
@@ -137,6 +140,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(hashes), [None, pa.py_buffer(row["digests"])])
             yield pa.record_batch({
                 "doc_id": pa.array(np.frombuffer(row["ids"], np.int64), mask=known),
+                "h": pa.array(hashes.view(np.int64)),
                 "digest": digests.cast(pa.binary()),
                 "suspect": pa.array(marks[place] == 1),
             })
@@ -156,10 +160,10 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
         .groupBy("owner").applyInArrow(_answers(owners), "source long, owner int, shared binary")
     )
     rows = packed.drop("n", "code").join(answers, ["source", "owner"])
-    rows = stored(rows.mapInArrow(_rows, "doc_id long, digest binary, suspect boolean"), "marked")
+    rows = stored(rows.mapInArrow(_rows, "doc_id long, h long, digest binary, suspect boolean"), "marked")
 
-    suspects = rows.filter("suspect").select("doc_id").distinct()
-    same = texts.join(suspects, texts.doc_id.eqNullSafe(suspects.doc_id), "left_semi")
+    maybe = bitmap(rows.filter("suspect"), "h")
+    same = texts.filter(maybe(F.xxhash64("text")))
     groups = same.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = stored(
         groups.select(F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), "keep_id", "group_size"), "groups"
@@ -177,11 +181,11 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
     groups = stored(duplicate_groups(docs), "decisions")
-    stay = groups.filter("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_text"))
-    same_id = docs["doc_id"].cast("long").eqNullSafe(F.col("_stay"))
-    if stay.groupBy("_stay").count().filter("count > 1").isEmpty():
-        return docs.join(stay.drop("_text"), same_id, "left_semi")
+    rows = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and("kept").alias("kept"))
+    if rows.filter("rows > 1").isEmpty():
+        return without(docs, "doc_id", rows.filter("not kept").select(F.col("doc_id").alias("key")))
     # An id repeats: its rows stay by their texts, and equal rows become one.
+    stay = groups.filter("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_text"))
     docs = docs.withColumn("_sha256", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    left = docs.join(stay, same_id & (F.col("_sha256") == F.col("_text")), "left_semi")
-    return left.dropDuplicates(["doc_id", "_sha256"]).drop("_sha256")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_stay")) & (F.col("_sha256") == F.col("_text"))
+    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_sha256"]).drop("_sha256")
