@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eavista.llm import exact_dedup, language, mixing, packing, token_files, toxicity, url_filter
+from eavista.llm import exact_dedup, language, minhash_dedup, mixing, packing, token_files, toxicity, url_filter
 from eavista.llm.shared import table
 
 
@@ -40,6 +40,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
@@ -47,11 +51,38 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_exact_dedup, op4_url_filter, op5_toxicity, op6_language_id, op7_packing, op8_token_files, op10_mixing,
+        op2_exact_dedup, op4_url_filter, op5_toxicity, op6_language_id, op7_packing, op8_token_files, op9_minhash_dedup,
+        op10_mixing,
     )
 }
 
 ORACLE = {
+    "op9_minhash_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+            FROM documents
+        ),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))) END AS s
+            FROM words
+        ),
+        flat AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS g FROM sets),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+            FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ),
+        links AS MATERIALIZED (
+            SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+            WHERE 100 * common >= 85 * (len(x.s) + len(y.s) - common)
+        ),
+        ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS v, doc_id AS r FROM sets UNION SELECT ways.b, reach.r FROM reach JOIN ways ON ways.a = reach.v)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+        FROM sets JOIN reach ON v = doc_id GROUP BY doc_id, s
+    """,
     "op2_exact_dedup": """
         WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         sized AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY text)
