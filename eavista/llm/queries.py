@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eavista.llm import exact_dedup, language, minhash_dedup, mixing, packing, token_files, toxicity, url_filter
+from eavista.llm import embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, token_files, toxicity, url_filter
 from eavista.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
@@ -51,22 +55,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_exact_dedup, op4_url_filter, op5_toxicity, op6_language_id, op7_packing, op8_token_files, op9_minhash_dedup,
+        op2_exact_dedup, op3_embedding_dedup, op4_url_filter, op5_toxicity, op6_language_id, op7_packing, op8_token_files, op9_minhash_dedup,
         op10_mixing,
     )
 }
 
 ORACLE = {
+    "op3_embedding_dedup": """
+        WITH RECURSIVE fit AS MATERIALIZED (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+        ),
+        reach AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.v),
+        least AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN least ON v = vec_id LEFT JOIN counts ON a = vec_id
+    """,
     "op9_minhash_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+                '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
             FROM documents
         ),
         sets AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))) END AS s
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
             FROM words
         ),
         flat AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS g FROM sets),
