@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eavista.llm import embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, token_files, toxicity, url_filter
+from eavista.llm import embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, suffix_dedup, token_files, toxicity, url_filter
 from eavista.llm.shared import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_exact_dedup, op3_embedding_dedup, op4_url_filter, op5_toxicity, op6_language_id, op7_packing, op8_token_files, op9_minhash_dedup,
+        op1_suffix_dedup, op2_exact_dedup, op3_embedding_dedup, op4_url_filter, op5_toxicity, op6_language_id, op7_packing, op8_token_files, op9_minhash_dedup,
         op10_mixing,
     )
 }
