@@ -8,9 +8,13 @@
 3. Each document is held against one hub: of the first documents of its bands' buckets,
    the one nearest by odd sketch. Pairs that the sketches do not rule out are confirmed on
    the full sets. This joins groups of thousands of copies with one comparison for each.
-4. Buckets whose documents are not yet in one component are cut into blocks; pairs across
-   components in two blocks are compared by sketch, and confirmed. Pairs within a
-   component need no comparison: the result is the components.
+4. Buckets whose documents are not yet in one component are cut into blocks. In a tile of
+   two blocks each document is held against the nearest one of another component; these
+   pairs are confirmed like the first ones.
+5. What is still open after that comes with its texts: a tile compares all pairs across
+   components that the sketches do not rule out, on full sets, and skips those whose
+   components it has joined. Pairs within a component need no comparison, as the result is
+   the components. No step writes out the pairs of a group.
 
 The number of bands is the least with which a pair just at the threshold is missed with
 less than ``MISSED`` probability; the sketches' margin is of ``MARGIN`` standard deviations.
@@ -164,24 +168,66 @@ def _nearest(limit: int):
     return run
 
 
-def _across(limit: int):
-    """Pairs of a tile that lie in two components and whose sketches are near."""
+def _words_of(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _closest(limit: int):
+    """For each document of a tile, the nearest one of another component, if near enough."""
 
     def run(tile: pa.Table) -> pa.Table:
-        side = tile["side"].to_numpy()
-        ids, named = tile["doc"].to_numpy(), tile["component"].to_numpy()
-        sketch = np.frombuffer(b"".join(tile["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        side, ids, named = tile["side"].to_numpy(), tile["doc"].to_numpy(), tile["component"].to_numpy()
+        sketch = _words_of(tile["sketch"])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b = [], []
+        low, partner = np.full(len(ids), limit + 1), np.zeros(len(ids), np.int64)
         for i in range(0, len(left), 64):
             rows = left[i : i + 64]
-            cross = named[rows][:, None] != named[right][None, :]
-            if cross.any():
-                apart = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2)
-                x, y = np.nonzero(cross & (apart <= limit))
-                a.append(ids[rows[x]])
-                b.append(ids[right[y]])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+            apart = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2).astype(np.int64)
+            apart[named[rows][:, None] == named[right][None, :]] = limit + 1
+            if apart.size:
+                best = apart.argmin(axis=1)
+                low[rows], partner[rows] = apart[np.arange(len(rows)), best], ids[right[best]]
+                best = apart.argmin(axis=0)
+                value = apart[best, np.arange(len(right))]
+                better = value < low[right]
+                low[right[better]], partner[right[better]] = value[better], ids[rows[best[better]]]
+        use = low <= limit
+        a, b = ids[use], partner[use]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _joined(limit: int, words: int, percent: int):
+    """Links between components of a tile, on full sets; none between those already joined here."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        side, ids, named = tile["side"].to_numpy(), tile["doc"].to_numpy(), tile["component"].to_numpy().copy()
+        sketch, found = _words_of(tile["sketch"]), []
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        data, offsets = utf8(tile["text"].combine_chunks())
+        kept: dict[int, np.ndarray] = {}
+
+        def own(row: int) -> np.ndarray:
+            if row not in kept:
+                at = offsets[row : row + 2]
+                (kept[row],) = shingles(data[at[0] : at[1]], at - at[0], words)
+            return kept[row]
+
+        for row in left.tolist():
+            apart = np.bitwise_count(sketch[row] ^ sketch[right]).sum(axis=1)
+            some = right[(apart <= limit) & (named[right] != named[row])]
+            for other in some[np.argsort(apart[(apart <= limit) & (named[right] != named[row])], kind="stable")].tolist():
+                if named[row] == named[other]:
+                    continue
+                x, y = own(row), own(other)
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    found.append((ids[row], ids[other]))
+                    named[named == named[other]] = named[row]
+        a, b = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
@@ -292,13 +338,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     some = stored(some.join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text"), "texts")
     links = stored(_confirm(some, nearest, words, percent), "links")
 
-    found = components(links)
-    members = keyed.join(sketch, "doc_id").join(found, F.col("doc_id") == F.col("vertex"), "left")
-    members = members.select("key", F.col("doc_id").alias("doc"), F.coalesce("component", "doc_id").alias("component"), "sketch")
-    tiles = _tiles(members)
-    across = tiles.groupBy("tile").applyInArrow(_across(limit), "a long, b long").distinct()
-    across = stored(across.join(nearest, ["a", "b"], "left_anti"), "across")
-    more = _confirm(some, across, words, percent)
+    def open_tiles(links: DataFrame) -> DataFrame:
+        found = components(links)
+        members = keyed.join(sketch, "doc_id").join(found, F.col("doc_id") == F.col("vertex"), "left")
+        component = F.coalesce("component", "doc_id").alias("component")
+        return _tiles(members.select("key", F.col("doc_id").alias("doc"), component, "sketch"))
+
+    closest = open_tiles(links).groupBy("tile").applyInArrow(_closest(limit), "a long, b long").distinct()
+    links = stored(links.union(_confirm(some, stored(closest, "closest"), words, percent)), "links")
+    rest = open_tiles(links).join(some, "doc").groupBy("tile")
+    more = rest.applyInArrow(_joined(limit, words, percent), "a long, b long")
     final = components(links.union(more).union(copies))
     rows = sketched.select("doc_id", F.col("n").alias("n_shingles"))
     rows = rows.join(final, F.col("doc_id") == F.col("vertex"), "left")

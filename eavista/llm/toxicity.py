@@ -203,9 +203,9 @@ def _uses(
 
 
 def _spread(window: np.ndarray) -> list[np.ndarray]:
-    """A window's letters as they are, with a blank after each, and with a letter after each."""
+    """A window's letters as they are, with a letter put in, with a blank after each, and with a letter after each."""
     letters = window[window > 0][: WINDOW // 2]
-    return [window] + [np.stack([letters, np.full(len(letters), x)], 1).ravel()[:-1].astype(np.uint8) for x in (0, 24)]
+    return [window, np.insert(letters, len(letters) // 2, 24)] + [np.stack([letters, np.full(len(letters), x)], 1).ravel()[:-1].astype(np.uint8) for x in (0, 24)]
 
 
 def _machine(vectors: np.ndarray, labels: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -292,14 +292,14 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Toxi
             elif i not in named and found[0][0] > max(high, 0):
                 good.append(found[0][1])
         windows = [x for w in good for x in _spread(w)] + list(clean.values())
-        is_bad = np.arange(len(windows)) < 3 * len(good)
+        is_bad = np.arange(len(windows)) < 4 * len(good)
         share = np.where(is_bad, 0.5 / max(1, is_bad.sum()), 0.5 / (~is_bad).sum())
         found = _machine(vectors(windows), is_bad, share)
         weights = np.zeros(size, np.float32)
         weights[keys] = (root @ found[:-1]) @ table
     # Single uses count beside whole texts: a text may hold one insult only.
     worst = np.array([found[0][0] for found in _worst(texts, weights)])
-    single = np.array([window_sums(w, weights).max() for w in uses])
+    single = np.array([min(window_sums(x, weights).max() for x in _spread(w)[:2]) for w in uses])
     known = np.concatenate([labels, np.ones(len(single))])
     sample = np.where(known == 1, 0.2 / labels.sum(), 0.7 / (len(labels) - labels.sum()))
     sample[len(labels) :] = 0.1 / max(1, len(single))
