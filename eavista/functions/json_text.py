@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# A JSON string literal, or a brace that opens or closes an object.
-_TOKEN = r'"(?:[^"\\]|\\.)*"|[{}]'
+# A JSON string literal, or a brace that opens or closes an object. The quantifiers are
+# possessive, so that matching needs no stack however long a string is.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}]'
 
 
 def json_length(text: Column) -> Column:
-    """``JSON_LENGTH``: array size, object key count, 1 for a scalar; NULL for malformed text."""
+    """``JSON_LENGTH``: array size, number of different object keys, 1 for a scalar; NULL for malformed text."""
     length = F.coalesce(
-        F.json_array_length(text), F.array_size(F.json_object_keys(text)), F.lit(1)
+        F.json_array_length(text), F.array_size(F.array_distinct(F.json_object_keys(text))), F.lit(1)
     )
     return F.when(F.try_parse_json(text).isNotNull(), length)
 

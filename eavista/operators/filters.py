@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DateType, TimestampNTZType
 
 
 def live(frame: DataFrame) -> DataFrame:
@@ -27,6 +28,10 @@ def optional_filters(
     the later rows of that day.
     """
     moment = projects.schema["created_at"].dataType
+    created = F.col("created_at")
+    if isinstance(moment, DateType):
+        # A date is its midnight, so that a bound's time of day counts.
+        moment, created = TimestampNTZType(), created.cast(TimestampNTZType())
 
     def bound(value: str) -> Column:
         return F.lit(value).cast(moment)
@@ -34,7 +39,7 @@ def optional_filters(
     if estado:
         projects = projects.filter(F.col("estado") == estado)
     if fecha_inicio:
-        projects = projects.filter(F.col("created_at") >= bound(fecha_inicio))
+        projects = projects.filter(created >= bound(fecha_inicio))
     if fecha_fin:
-        projects = projects.filter(F.col("created_at") <= bound(fecha_fin))
+        projects = projects.filter(created <= bound(fecha_fin))
     return projects

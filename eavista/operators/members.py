@@ -11,6 +11,8 @@ from eavista.operators.references import ROLES
 from eavista.sources.tables import Tables
 
 MEMBERS = (ROLES["integrante_1"], ROLES["integrante_2"])
+# Copies of one counted row that one row of the next step stands for.
+COPIES_PER_SLICE = 1_000_000
 LIST_ATTRIBUTE = first("beneficiarios_icfes")
 
 
@@ -30,9 +32,13 @@ def member_counts(tables: Tables) -> DataFrame:
 
 
 def repeat_copies(frame: DataFrame) -> DataFrame:
-    """Undo the counting: one row per copy."""
+    """Undo the counting: one row per copy, made in slices that are dealt out to many tasks."""
+    last = F.floor((F.col("copias") - 1) / COPIES_PER_SLICE)
+    sliced = frame.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("slice"))
+    left = F.least(F.lit(COPIES_PER_SLICE).cast("bigint"), F.col("copias") - F.col("slice") * COPIES_PER_SLICE)
+    dealt = sliced.withColumn("copias", left).repartition("solicitud_id", "usuario_id", "slice")
     repeats = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copias"))).alias("copia")
-    return frame.select("*", repeats).drop("copias", "copia")
+    return dealt.select("*", repeats).drop("copias", "copia", "slice")
 
 
 def listed_members(tables: Tables) -> DataFrame:

@@ -26,7 +26,7 @@ EXPORT = [
 ]
 TITLE = "Beneficiarios TyT / PRO Sistemas"
 
-# The keys that make two rows one; there is no project among them.
+# The keys that make two rows one; there is no project among them.
 KEYS = [
     "usuario_id", "name", "nro_documento", "nivel", "modalidad",
     "director_name", "evaluador_name", "tipo", "titulo_idea",

@@ -9,6 +9,7 @@ from eavista.operators.totals import nested_rows, total_row
 from eavista.plans.statistics import APPROVED, formal_projects
 from eavista.sources.tables import Tables
 
+# Title, labels in order, and the text of the total.
 TITLE = "Dinámica por Modalidad - Trabajos de Grado"
 LABELS = [
     ("MODALIDADES", "etiqueta"),

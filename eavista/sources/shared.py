@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30}
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -16,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="eavista-")
     context.setCheckpointDir(folder)
@@ -39,6 +36,5 @@ def estimated_bytes(frame: DataFrame) -> int:
 
 def fits_broadcast(frame: DataFrame) -> bool:
     """Whether Spark would broadcast ``frame`` under the session's threshold."""
-    setting = frame.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-zA-Z]*)\s*", str(setting)).groups()
-    return estimated_bytes(frame) <= int(number) * _UNITS[unit.lower()]
+    settings = frame.sparkSession._jsparkSession.sessionState().conf()
+    return estimated_bytes(frame) <= settings.autoBroadcastJoinThreshold()

@@ -226,9 +226,9 @@ CTES: dict[str, str] = {
 
 
 def query(text: str) -> str:
-    """``text`` with the CTEs it needs, in dependency order."""
+    """``text`` with the CTEs it needs, in dependency order, each computed once."""
     needed = _needed(text, set())
-    ctes = ",\n".join(f"{name} AS ({CTES[name].strip()})" for name in CTES if name in needed)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name].strip()})" for name in CTES if name in needed)
     return f"WITH {ctes}\n{text.strip()}" if ctes else text.strip()
 
 
