@@ -5,16 +5,16 @@
    a bitmap. Where two sets agree in a sample, its flips cancel in the XOR of their
    bitmaps, so its population count tells how many samples differ.
 2. Documents with equal sets are one from here on.
-3. Each document is held against one hub: of the first documents of its bands' buckets,
-   the one nearest by odd sketch. Pairs that the sketches do not rule out are confirmed on
-   the full sets. This joins groups of thousands of copies with one comparison for each.
-4. Buckets whose documents are not yet in one component are cut into blocks. In a tile of
-   two blocks each document is held against the nearest one of another component; these
-   pairs are confirmed like the first ones.
-5. What is still open after that comes with its texts: a tile compares all pairs across
-   components that the sketches do not rule out, on full sets, and skips those whose
-   components it has joined. Pairs within a component need no comparison, as the result is
-   the components. No step writes out the pairs of a group.
+3. In each band's bucket documents are held against its first one, the hub, by odd sketch.
+   Those that its sketch rules out are held against the whole bucket, in tiles of two
+   blocks. Of the pairs that are not ruled out only a spanning forest of each tile leaves
+   it; its components, taken over all buckets, are the clusters: no link leaves a cluster.
+4. The texts of a cluster come together once. A task compares on full sets the pairs that
+   the sketches do not rule out, nearest first, and skips pairs that it has joined already,
+   as the result is the components. No step writes out the pairs of a group.
+5. A cluster of more than ``MOST_DOCUMENTS`` or ``MOST_SHINGLES`` does not fit a task. Each
+   of its documents is confirmed against its nearest hub; buckets that still hold several
+   components then come in tiles of two blocks with their texts, compared like a cluster.
 
 The number of bands is the least with which a pair just at the threshold is missed with
 less than ``MISSED`` probability; the sketches' margin is of ``MARGIN`` standard deviations.
@@ -45,9 +45,12 @@ ROWS = 4
 MISSED = 1e-5
 SKETCH_BITS = 512
 MARGIN = 4.0
-# Documents of a bucket that one task compares with as many others, and members of a hub's group.
+# Documents of a bucket that are compared with as many others in a tile, and members of a hub's group.
 BLOCK = 1024
 GROUP = 64
+# What a task takes as one cluster; larger ones are cut into tiles.
+MOST_DOCUMENTS = 4096
+MOST_SHINGLES = 1 << 22
 CHUNK = 1 << 20
 
 MULTIPLIERS = random_words(91, SAMPLES) | np.uint64(1)
@@ -152,59 +155,62 @@ def _sketched(words: int, n_bands: int):
     return run
 
 
-def _nearest(limit: int):
-    """Bits by which the sketches differ, where no more than ``limit``."""
+def _near(limit: int):
+    """Bits by which the sketches of a document and its bucket's hub differ, and whether the pair stays possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("sketch", "other"))
+            a, b = (_words_of(batch[c]) for c in ("sketch", "other"))
             apart = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
-            near = pa.array(apart <= limit)
-            out = pa.record_batch({"a": batch["a"], "b": batch["b"], "apart": pa.array(apart)})
-            yield out.filter(near)
+            rows = {c: batch[c] for c in ("key", "hub", "doc", "sketch")}
+            yield pa.record_batch(rows | {"apart": pa.array(apart), "near": pa.array(apart <= limit)})
 
     return run
 
 
-def _words_of(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+def _words_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
 
 
-def _closest(limit: int):
-    """For each document of a tile, the nearest one of another component, if near enough."""
+def _possible(limit: int):
+    """A tile per row: a link from each document to the least of those that possible pairs lead to."""
 
-    def run(tile: pa.Table) -> pa.Table:
-        side, ids, named = tile["side"].to_numpy(), tile["doc"].to_numpy(), tile["component"].to_numpy()
-        sketch = _words_of(tile["sketch"])
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        low, partner = np.full(len(ids), limit + 1), np.zeros(len(ids), np.int64)
-        for i in range(0, len(left), 64):
-            rows = left[i : i + 64]
-            apart = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2).astype(np.int64)
-            apart[named[rows][:, None] == named[right][None, :]] = limit + 1
-            if apart.size:
-                best = apart.argmin(axis=1)
-                low[rows], partner[rows] = apart[np.arange(len(rows)), best], ids[right[best]]
-                best = apart.argmin(axis=0)
-                value = apart[best, np.arange(len(right))]
-                better = value < low[right]
-                low[right[better]], partner[right[better]] = value[better], ids[rows[best[better]]]
-        use = low <= limit
-        a, b = ids[use], partner[use]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(len(batch)):
+                tile = batch["tile"][i].values
+                asks, ids, sketch = tile.field("asks").to_numpy(zero_copy_only=False), tile.field("doc").to_numpy(), _words_of(tile.field("sketch"))
+                left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+                near = np.zeros((len(left), len(right)), bool)
+                for k in range(0, len(left), 64):
+                    rows = left[k : k + 64]
+                    near[k : k + 64] = np.bitwise_count(sketch[rows][:, None] ^ sketch[right][None]).sum(axis=2) <= limit
+                near &= ids[left][:, None] != ids[right][None]
+                if not near.any():
+                    continue
+                low, high, none = ids[left].copy(), ids[right].copy(), np.iinfo(np.int64).max
+                while True:
+                    x = np.minimum(low, np.where(near, high, none).min(1))
+                    y = np.minimum(high, np.where(near, x[:, None], none).min(0))
+                    if (x == low).all() and (y == high).all():
+                        break
+                    low, high = x, y
+                found.append(np.stack([np.concatenate([low, high]), np.concatenate([ids[left], ids[right]])]))
+            a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.record_batch({"a": pa.array(a[a != b]), "b": pa.array(b[a != b])})
 
     return run
 
 
 def _joined(limit: int, words: int, percent: int):
-    """Links between components of a tile, on full sets; none between those already joined here."""
+    """Links of a cluster, or between the sides of a tile, on full sets; none between those already joined."""
 
     def run(tile: pa.Table) -> pa.Table:
-        side, ids, named = tile["side"].to_numpy(), tile["doc"].to_numpy(), tile["component"].to_numpy().copy()
-        sketch, found = _words_of(tile["sketch"]), []
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        ids, named, found = tile["doc"].to_numpy(), tile["component"].to_numpy().copy(), []
+        order = np.argsort(ids, kind="stable")
+        sketch = _words_of(tile["sketch"])
+        side = tile["side"].to_numpy() if "side" in tile.column_names else None
         data, offsets = utf8(tile["text"].combine_chunks())
         kept: dict[int, np.ndarray] = {}
 
@@ -214,10 +220,17 @@ def _joined(limit: int, words: int, percent: int):
                 (kept[row],) = shingles(data[at[0] : at[1]], at - at[0], words)
             return kept[row]
 
-        for row in left.tolist():
-            apart = np.bitwise_count(sketch[row] ^ sketch[right]).sum(axis=1)
-            some = right[(apart <= limit) & (named[right] != named[row])]
-            for other in some[np.argsort(apart[(apart <= limit) & (named[right] != named[row])], kind="stable")].tolist():
+        for k, row in enumerate(order.tolist()):
+            if side is None:
+                others = order[k + 1 :]
+            elif side[row] == 0:
+                others = order[side[order] == 1]
+            else:
+                continue
+            others = others[named[others] != named[row]]
+            apart = np.bitwise_count(sketch[row] ^ sketch[others]).sum(axis=1)
+            others, apart = others[apart <= limit], apart[apart <= limit]
+            for other in others[np.argsort(apart, kind="stable")].tolist():
                 if named[row] == named[other]:
                     continue
                 x, y = own(row), own(other)
@@ -265,7 +278,24 @@ def _confirm(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return rows.groupBy("hub", "part").applyInArrow(_confirmed(words, percent), "a long, b long")
 
 
-def _tiles(members: DataFrame) -> DataFrame:
+def _tiles(met: DataFrame) -> DataFrame:
+    """Documents that their hub's sketch rules out against all of their bucket: a row per two blocks, of about ``BLOCK`` each."""
+    far = F.count_if(~F.col("near"))
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("all"), far.alias("far")).filter("far > 0 and all > 1")
+    blocks = sizes.select("key", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("all", "far")))
+    rows, place = met.join(blocks, "key"), F.xxhash64("doc")
+    held = rows.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("far") - 1)).alias("x"), F.pmod(place, "all").cast("int").alias("y"),
+        F.struct(F.lit(False).alias("asks"), "doc", "sketch").alias("row"),
+    )
+    asks = rows.filter(~F.col("near")).select(
+        "key", F.pmod(place, "far").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("y"),
+        F.struct(F.lit(True).alias("asks"), "doc", "sketch").alias("row"),
+    )
+    return held.union(asks).groupBy("key", "x", "y").agg(F.collect_list("row").alias("tile")).select("tile")
+
+
+def _open_tiles(members: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, once for each tile they are in.
 
     Components with more than a block's members in a bucket have blocks of their own,
@@ -316,39 +346,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         "sketches",
     )
     # Equal sets are one: the first id stands for them.
-    equal = sketched.filter("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("first"))
-    named = sketched.join(stored(equal, "sets"), ["n", "one", "two"], "left")
-    firsts = stored(named.filter("doc_id = first").dropDuplicates(["doc_id"]).select("doc_id", "keys", "sketch"), "firsts")
-    copies = named.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-
-    keyed = firsts.select("doc_id", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).filter("n > 1")
-    keyed = stored(keyed.join(stored(buckets.select("key", "hub"), "buckets"), "key").select("key", "hub", "doc_id"), "keyed")
-    pairs = stored(keyed.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    sketch = firsts.select("doc_id", "sketch")
-    near = pairs.join(sketch.toDF("b", "sketch"), "b").join(sketch.toDF("a", "other"), "a")
+    real = sketched.filter("n > 0 and doc_id is not null")
+    equal = real.groupBy("n", "one", "two").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("row"))
+    equal = stored(equal.select("n", "one", "two", F.col("row.doc_id").alias("doc"), "row.keys", "row.sketch"), "sets")
+    copies = real.join(equal.select("n", "one", "two", "doc"), ["n", "one", "two"]).filter("doc_id <> doc")
+    copies = copies.select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
+    firsts = equal.dropDuplicates(["doc"])
+
     limit = most_apart(threshold)
-    near = near.select("a", "b", "sketch", "other").mapInArrow(_nearest(limit), "a long, b long, apart long")
-    nearest = stored(near.groupBy("b").agg(F.min_by("a", "apart").alias("a")).select("a", "b"), "nearest")
+    keyed = firsts.select("doc", "sketch", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sketch")).alias("first")).filter("n > 1")
+    met = keyed.join(hubs.select("key", "first"), "key").filter(F.col("first.doc") != F.col("doc"))
+    met = met.select("key", F.col("first.doc").alias("hub"), "doc", "sketch", F.col("first.sketch").alias("other"))
+    met = stored(met.mapInArrow(_near(limit), "key long, hub long, doc long, sketch binary, apart long, near boolean"), "met")
+    near = met.filter("near").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    possible = stored(near.union(_tiles(met).mapInArrow(_possible(limit), "a long, b long")).distinct(), "possible")
+
+    clusters = components(possible)
+    found = clusters.join(firsts.select(F.col("doc").alias("vertex"), "n", "sketch"), "vertex")
+    found = stored(found.select(F.col("vertex").alias("doc"), F.col("component").alias("cluster"), "n", "sketch"), "clusters")
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("shingles"))
+    large = stored(sizes.filter((F.col("documents") > MOST_DOCUMENTS) | (F.col("shingles") > MOST_SHINGLES)).select("cluster"), "large")
 
     # Texts of documents that may be compared; the others stay where they are.
-    asked = keyed.select("doc_id").distinct()
-    maybe = bitmap(asked.select(F.xxhash64("doc_id").alias("h")), "h")
-    some = texts.filter(maybe(F.xxhash64("doc_id"))).dropDuplicates(["doc_id"])
-    some = stored(some.join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text"), "texts")
-    links = stored(_confirm(some, nearest, words, percent), "links")
-
-    def open_tiles(links: DataFrame) -> DataFrame:
-        found = components(links)
-        members = keyed.join(sketch, "doc_id").join(found, F.col("doc_id") == F.col("vertex"), "left")
-        component = F.coalesce("component", "doc_id").alias("component")
-        return _tiles(members.select("key", F.col("doc_id").alias("doc"), component, "sketch"))
-
-    closest = open_tiles(links).groupBy("tile").applyInArrow(_closest(limit), "a long, b long").distinct()
-    links = stored(links.union(_confirm(some, stored(closest, "closest"), words, percent)), "links")
-    rest = open_tiles(links).join(some, "doc").groupBy("tile")
-    more = rest.applyInArrow(_joined(limit, words, percent), "a long, b long")
-    final = components(links.union(more).union(copies))
+    maybe = bitmap(found.select(F.xxhash64("doc").alias("h")), "h")
+    some = texts.filter(maybe(F.xxhash64("doc_id"))).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc")
+    joined = _joined(limit, words, percent)
+    whole = found.join(large, "cluster", "left_anti").select("cluster", "doc", F.col("doc").alias("component"), "sketch")
+    links = whole.join(some, "doc").groupBy("cluster").applyInArrow(joined, "a long, b long")
+    links = stored(links, "links")
+    if not large.isEmpty():
+        cut = stored(found.join(large, "cluster", "left_semi").select("doc", "sketch").join(some, "doc"), "texts")
+        nearest = met.filter("near").groupBy("doc").agg(F.min_by("hub", F.struct("apart", "hub")).alias("a"))
+        nearest = nearest.join(cut.select("doc"), "doc", "left_semi").select("a", F.col("doc").alias("b"))
+        held = stored(_confirm(cut.select("doc", "text"), nearest, words, percent), "held")
+        buckets = met.select("key", "doc").union(met.select("key", F.col("hub").alias("doc")).distinct())
+        members = buckets.join(cut.select("doc", "sketch"), "doc").join(components(held), F.col("doc") == F.col("vertex"), "left")
+        members = members.select("key", "doc", F.coalesce("component", "doc").alias("component"), "sketch")
+        more = _open_tiles(members).join(cut.select("doc", "text"), "doc").groupBy("tile").applyInArrow(joined, "a long, b long")
+        links = links.union(held).union(more)
+    final = components(links.union(copies))
     rows = sketched.select("doc_id", F.col("n").alias("n_shingles"))
     rows = rows.join(final, F.col("doc_id") == F.col("vertex"), "left")
     component = F.coalesce("component", "doc_id")

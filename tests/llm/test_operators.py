@@ -142,16 +142,20 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).isEmpty()
 
 
-def test_near_documents(docs, nothing, spark):
+@pytest.mark.parametrize("block, most, shingles", [(1024, 4096, 1 << 22), (4, 6, 1 << 22), (4, 4096, 100)])
+def test_near_documents(docs, nothing, spark, monkeypatch, block, most, shingles):
+    """Whole clusters, and clusters cut into tiles because of their documents or their shingles."""
+    for name, value in (("BLOCK", block), ("MOST_DOCUMENTS", most), ("MOST_SHINGLES", shingles)):
+        monkeypatch.setattr(minhash_dedup, name, value)
     base = prose(8, 200)
     table = [(i, edited(base, i * 3)) for i in range(40)] + [(50, None), (51, "one two"), (52, "ONE  two"), (53, "\n"), (None, base)]
     found = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), 3, 85))
 
-    def shingles(text):
+    def shingle_set(text):
         words = (text or "").lower().split()
         return {tuple(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else {tuple(words)} if words else set()
 
-    sets = {i: shingles(t) for i, t in table if i is not None}
+    sets = {i: shingle_set(t) for i, t in table if i is not None}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
              and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     named = components(links, sets)
