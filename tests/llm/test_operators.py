@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from eavista.llm import components as contraction
 from eavista.llm import (
     embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, suffix_dedup, token_files, tokens, toxicity,
     url_filter,
@@ -124,6 +125,18 @@ def components(links, ids):
     return name
 
 
+@pytest.mark.parametrize("most", [0, 40, 1 << 17])
+def test_components(spark, monkeypatch, most):
+    """Rounds alone, rounds and then one task, and one task alone give the same components."""
+    monkeypatch.setattr(contraction, "MOST_LINKS", most)
+    draw = np.random.default_rng(12)
+    links = [(int(a), int(b)) for a, b in draw.integers(-60, 60, (70, 2))] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (300, 300)]
+    found = contraction.components(spark.createDataFrame(links, "a long, b long")).collect()
+    ids = {i for a, b in links if a != b for i in (a, b)}
+    named = components([x for x in links if x[0] != x[1]], ids)
+    assert {r.vertex: r.component for r in found} == named and len(found) == len(ids)
+
+
 def test_vectors(spark):
     draw = np.random.default_rng(4)
     base = draw.normal(size=(40, 16))
