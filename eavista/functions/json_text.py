@@ -1,4 +1,9 @@
-"""Length of, and membership in, JSON documents kept as text."""
+"""Length of, and membership in, JSON documents kept as text.
+
+No document becomes a variant, whose size is limited and which refuses repeated keys.
+Valid text is text of JSON tokens that parses as one value. What the parser cannot judge
+(``_beyond_parser``) fails; it is not taken for malformed.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# A JSON string literal, or a brace that opens or closes an object. The quantifiers are
-# possessive, so that matching needs no stack however long a string is.
-_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}]'
+# The quantifiers are possessive, so that matching needs no stack however long a string is.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_STRICT_STRING = r'"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1F]*+)*+"'
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+# The parser itself also takes single quotes and control characters.
+_ONLY_TOKENS = rf"^(?:[ \t\r\n,:\[\]{{}}]++|{_STRICT_STRING}|{_NUMBER}|true|false|null)*+\z"
+_INNERMOST_OBJECT = rf'({_STRING})|\{{(?:[^{{}}"]++|{_STRING})*+\}}'
+
+# Limits of the parser: levels (two less, for the wrapping), characters of a key, digits of a number.
+_MOST_LEVELS = 998
+_LONG_KEY = r'"(?:[^"\\]|\\.){50000,}+"[ \t\r\n]*+:'
+_LONG_NUMBER = r"[0-9.eE+-]{1000}"
 
 
 def json_length(text: Column) -> Column:
@@ -16,7 +30,7 @@ def json_length(text: Column) -> Column:
     length = F.coalesce(
         F.json_array_length(text), F.array_size(F.array_distinct(F.json_object_keys(text))), F.lit(1)
     )
-    return F.when(F.try_parse_json(text).isNotNull(), length)
+    return F.when(_valid(text), length)
 
 
 def json_string_members(text: Column) -> Column:
@@ -26,37 +40,60 @@ def json_string_members(text: Column) -> Column:
     an array at any depth of nested arrays. Numbers and strings inside objects do
     not count.
     """
+    shown = F.when(F.contains(text, F.lit("{")), _without_objects(text)).otherwise(text)
+    return F.when(_valid(text), _bind(F.regexp_extract_all(shown, F.lit(_STRING), F.lit(0)), _decoded))
+
+
+def _valid(text: Column) -> Column:
+    """Whether the text is one JSON value; NULL for NULL."""
+    # The parser ignores what follows a value: a text that closes one wrapping breaks the other.
+    in_array = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    in_object = F.array_size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))) == 1
+    too_much = F.raise_error(F.lit("JSON text beyond the limits of the parser")).cast("boolean")
+    return (
+        F.when(text.isNull(), F.lit(None).cast("boolean"))
+        .when(~text.rlike(_ONLY_TOKENS), F.lit(False))
+        .when(F.coalesce(in_array & in_object, F.lit(False)), F.lit(True))
+        .when(_beyond_parser(text), too_much)
+        .otherwise(F.lit(False))
+    )
 
-    def members(items: Column) -> Column:
-        strings = F.filter(items, lambda item: F.schema_of_variant(item) == "STRING")
-        nested = F.exists(items, lambda item: F.schema_of_variant(item).startswith("ARRAY"))
-        flat = F.transform(strings, lambda item: item.cast("string"))
-        return F.when(nested, _strings_outside_objects(text)).otherwise(flat)
 
-    def of_document(document: Column) -> Column:
-        items = F.coalesce(F.try_variant_get(document, "$", "array<variant>"), F.array(document))
-        return F.when(document.isNotNull(), _bind(items, members))
+def _beyond_parser(text: Column) -> Column:
+    deep = _deepest(text, "[{", "]}") > _MOST_LEVELS
+    return (F.length(text) >= _MOST_LEVELS) & (deep | text.rlike(_LONG_KEY) | text.rlike(_LONG_NUMBER))
 
-    return _bind(F.try_parse_json(text), of_document)
 
+def _deepest(text: Column, opening: str, closing: str) -> Column:
+    """The most brackets of these kinds that are open at once, those in strings aside."""
+    kinds = "".join("\\" + c for c in opening + closing)
+    tokens = F.regexp_extract_all(text, F.lit(rf"{_STRING}|[{kinds}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
-    return F.transform(F.array(value), body)[0]
+    def step(state: Column, token: Column) -> Column:
+        move = F.when(token.isin(*opening), 1).when(token.isin(*closing), -1).otherwise(0)
+        depth = state["depth"] + move
+        return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
 
+    return F.aggregate(tokens, start, step, lambda state: state["most"])
 
-def _strings_outside_objects(text: Column) -> Column:
-    """String literals of valid JSON that lie in no object, decoded."""
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("found"))
 
-    def step(state: Column, token: Column) -> Column:
-        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
-        outside = token.startswith('"') & (state["depth"] == 0)
-        found = F.when(outside, F.array_append(state["found"], token)).otherwise(state["found"])
-        return F.struct(depth.alias("depth"), found.alias("found"))
-
-    return F.transform(
-        F.aggregate(tokens, start, step, lambda state: state["found"]),
-        lambda token: F.variant_get(F.parse_json(token), "$", "string"),
+def _without_objects(text: Column) -> Column:
+    """Valid JSON less its objects, the innermost taken out first, level by level."""
+    levels = F.sequence(F.lit(1), F.greatest(_deepest(text, "{", "}"), F.lit(1)))
+    return F.aggregate(
+        levels, text, lambda rest, _: F.regexp_replace(rest, F.lit(_INNERMOST_OBJECT), F.lit("$1"))
     )
+
+
+def _decoded(literals: Column) -> Column:
+    """The values of JSON string literals."""
+    array = F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]"))
+    values = F.from_json(array, "array<string>", {"maxStringLen": str(2**31 - 1)})
+    lost = F.raise_error(F.lit("JSON strings beyond the limits of the parser")).cast("array<string>")
+    return F.when(F.size(values) == F.size(literals), values).otherwise(lost)
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]

@@ -66,6 +66,40 @@ def test_json_string_members(spark):
     assert apply(spark, json_string_members, JSON_MEMBERS) == list(JSON_MEMBERS.values())
 
 
+def test_json_with_repeated_keys(spark):
+    texts = ['{"a":1,"a":2}', '[{"a":1,"a":2},"5"]', '[{"a":{"b":"1"},"a":"{"},["}",{}],"5"]']
+    assert apply(spark, json_length, texts) == [1, 2, 3]
+    assert apply(spark, json_string_members, texts) == [[], ["5"], ["}", "5"]]
+
+
+def test_json_is_strict(spark):
+    texts = ['["1"] x', '["1"]] [', '["1"] ["2"]', '["1"]}', "['1']", '["\t"]', '["1",]', "01", "[01]", "NaN"]
+    assert apply(spark, json_length, texts) == [None] * len(texts)
+    assert apply(spark, json_string_members, texts) == [None] * len(texts)
+
+
+def test_json_list_above_the_variant_limit(spark):
+    long = F.concat(F.lit('["7",'), F.repeat(F.concat(F.lit('"'), F.repeat(F.lit("x"), 999), F.lit('",')), 140_000), F.lit('{},"8"]'))
+    found = spark.range(1).select(long.alias("v")).select(
+        F.length("v").alias("n"), json_length(F.col("v")).alias("length"), json_string_members(F.col("v")).alias("m")
+    ).select("n", "length", F.size("m"), F.element_at("m", 1), F.element_at("m", -1), F.size(F.array_distinct("m")))
+    n, *rest = found.first()
+    assert n > 128 * 2**20 and rest == [140_003, 140_002, "7", "8", 3]
+
+
+def test_one_string_above_the_limit_of_strings(spark):
+    long = F.concat(F.lit('["7","'), F.repeat(F.lit("x"), 21_000_000), F.lit('"]'))
+    found = spark.range(1).select(long.alias("v")).select(json_length(F.col("v")), F.length(json_string_members(F.col("v"))[1]))
+    assert tuple(found.first()) == (2, 21_000_000)
+
+
+@pytest.mark.parametrize("text", ["[" * 1200 + "]" * 1200, '{"' + "k" * 60_000 + '":1}', "[" + "1" * 1100 + "]"])
+def test_json_beyond_the_parser_fails(spark, text):
+    for function in (json_length, json_string_members):
+        with pytest.raises(Exception, match="beyond the limits"):
+            apply(spark, function, [text])
+
+
 def test_days_after_keeps_type(spark):
     def later(v):
         return days_after(v, 90)
