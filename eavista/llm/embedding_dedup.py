@@ -1,8 +1,8 @@
 """Near-duplicate vectors by product quantisation, with an exact check.
 
 1. Coarse centroids and, on what is left of vectors after their centroid, a codebook for
-   each subspace are fitted by k-means on at most ``TRAINING_ROWS`` vectors, the first by a
-   hash of the id. There is one coarse list for each ``LIST_ROWS`` vectors, ``MOST_LISTS``
+   each subspace are fitted by k-means on at most ``TRAINING_ROWS`` of the vectors fit for
+   comparison, the first by a hash of the id. There is one coarse list for each ``LIST_ROWS`` vectors, ``MOST_LISTS``
    at most: beyond that lists grow, and are cut into more blocks.
 2. Every vector is kept in the list of its nearest centroid, as a code, with the length of
    its quantisation error; it probes all lists that a vector within reach could be in. Two
@@ -18,7 +18,7 @@
 Only vectors with equal labels meet. Null labels, null, empty or zero vectors, and vectors
 with null or non-finite components link with nothing; vectors of different lengths do not
 link. A null id links with nothing. Of rows that repeat an id the least by label and vector
-counts, and each row gets its result. An empty table gives an empty result.
+that is fit counts, and each row gets its result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -184,16 +184,19 @@ def near_duplicates(table: DataFrame, cosine: float = 0.98) -> DataFrame:
     )
     use = rows.filter("vec_id is not null and label is not null and vector is not null and width > 0")
     repeated = not use.groupBy("vec_id").count().filter("count > 1").isEmpty()
+    # Fit for comparison, as in ``_unit``: before counting and sampling, which decide for all rows.
+    unfit = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    use = use.filter(~unfit & F.exists("vector", lambda x: x != 0))
     if repeated:
         use = use.groupBy("vec_id").agg(F.min(F.struct("label", "vector", "width")).alias("row")).select("vec_id", "row.*")
     widest, n = use.agg(F.max("width"), F.count(F.lit(1))).first()
-    sample = use.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAINING_ROWS).select("vector").toArrow()["vector"]
-    sample, good = _unit(sample.combine_chunks(), widest) if n else (np.zeros((0, 1)), np.zeros(0, bool))
     ids = rows.select("vec_id")
-    if not good.any():
+    if not n:
         component = F.col("vec_id").alias("component_id")
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), component, F.lit(True).alias("kept"))
-    index = fit(sample[good], min(MOST_LISTS, max(1, n // LIST_ROWS)))
+    sample = use.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAINING_ROWS).select("vector").toArrow()["vector"]
+    sample, _ = _unit(sample.combine_chunks(), widest)
+    index = fit(sample, min(MOST_LISTS, max(1, n // LIST_ROWS)))
     reach = float(np.sqrt(2 - 2 * cosine))
     kept = stored(
         use.mapInArrow(

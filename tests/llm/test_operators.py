@@ -155,6 +155,20 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).isEmpty()
 
 
+def test_few_fit_vectors_among_many(spark, monkeypatch):
+    """Vectors that cannot be compared take no place in the training sample."""
+    monkeypatch.setattr(embedding_dedup, "TRAINING_ROWS", 5)
+    unfit = [[0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], [-0.0, 0.0]]
+    table = [(i, unfit[i % 5], 0) for i in range(400)] + [(i, [3.0, 4.0], 0) for i in (500, 501, 502)] + [(500, [0.0, 0.0], 0)]
+    rows = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    found = embedding_dedup.near_duplicates(rows).collect()
+    linked = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found if r.vec_id >= 500)
+    assert linked == [(500, 2, 500, True), (500, 2, 500, True), (501, 2, 500, False), (502, 2, 500, False)]
+    rest = [r for r in found if r.vec_id < 500]
+    assert len(rest) == 400 and all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in rest)
+    assert all(r.kept for r in embedding_dedup.near_duplicates(rows.filter("vec_id < 400")).collect())
+
+
 @pytest.mark.parametrize("block, most, shingles", [(1024, 4096, 1 << 22), (4, 6, 1 << 22), (4, 4096, 100)])
 def test_near_documents(docs, nothing, spark, monkeypatch, block, most, shingles):
     """Whole clusters, and clusters cut into tiles because of their documents or their shingles."""
