@@ -1,4 +1,8 @@
-"""Person-by-period matrices with totals, and two of them side by side."""
+"""Person-by-period matrices with totals, and two of them side by side.
+
+The long form has a row per cell and a row per total, for any number of periods. The wide
+form is for a list of periods that the caller passes.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +12,64 @@ from pyspark.sql import DataFrame, functions as F
 
 from eavista.operators.layout import quoted
 from eavista.operators.ranking import with_position
+from eavista.operators.skew import spread_join
 
-# A matrix has one column per period; more than this is better read in long form.
-MOST_COLUMNS = 10_000
 TOTAL = "total_general"
 TOTAL_LABEL = "Total general"
 
 
 def column_values(frame: DataFrame) -> list[str]:
-    """The sorted values of a one-column frame, to become column names."""
-    rows = frame.limit(MOST_COLUMNS + 1).collect()
-    if len(rows) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} columns; use the long form")
-    return sorted(row[0] for row in rows)
+    """The sorted values of a one-column frame, for a caller that wants them as columns."""
+    return sorted(row[0] for row in frame.collect())
+
+
+def shown_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, periodo, n): of several groups that show one period the greatest counts."""
+    last = F.max(F.struct("periodo_grupo", "total_periodo")).getField("total_periodo")
+    return cells.groupBy(*keys, "periodo").agg(last.alias("n"))
+
+
+def long_matrix(cells: DataFrame, keys: Sequence[str], periods: DataFrame) -> DataFrame:
+    """(keys, es_total, periodo, n): a row per cell of a listed period, and one per row total.
+
+    ``periods`` has each listed period once. A key without a listed period has its total, 0.
+    """
+    listed = spread_join(shown_cells(cells, keys), periods.select("periodo"), "periodo", spread_on=keys[-1])
+    parts = listed.select(*keys, F.lit(0).alias("es_total"), "periodo", "n")
+    zeros = cells.select(*keys, F.lit(0).cast("bigint").alias("n"))
+    totals = parts.select(*keys, "n").unionByName(zeros).groupBy(*keys).agg(F.sum("n").alias("n"))
+    total = totals.select(*keys, F.lit(1).alias("es_total"), F.lit(TOTAL_LABEL).alias("periodo"), "n")
+    return parts.unionByName(total)
+
+
+def long_total(matrix: DataFrame, name: str, periods: DataFrame) -> DataFrame:
+    """(name, es_total, periodo, n): the total of each listed period and of all; zero is blank."""
+    none = periods.select(F.lit(0).alias("es_total"), "periodo", F.lit(None).cast("bigint").alias("n"))
+    all_of = matrix.filter("es_total = 1").agg(F.sum("n").alias("n")).select(
+        F.lit(1).alias("es_total"), F.lit(TOTAL_LABEL).alias("periodo"), "n"
+    )
+    cells = matrix.filter("es_total = 0").select("es_total", "periodo", "n").unionByName(none)
+    sums = cells.groupBy("es_total", "periodo").agg(F.sum("n").alias("n")).unionByName(all_of)
+    return sums.select(
+        F.lit(TOTAL_LABEL).alias(name), "es_total", "periodo", F.nullif("n", F.lit(0)).alias("n")
+    )
+
+
+def long_side_by_side(matrix: DataFrame, group: str, name: str, sections: Sequence[str]) -> DataFrame:
+    """(fila, es_total, periodo) with the cell of the i-th row of each section.
+
+    A section's columns are its name and ``<section>_n``; both are NULL where it has no
+    such cell. The total row has the names of all sections that reach so far down.
+    """
+    people = with_position(matrix.filter("es_total = 1").select(group, name), group, name)
+    mine = (F.col("m." + group) == F.col("p." + group)) & F.col("m." + name).eqNullSafe(F.col("p." + name))
+    rows = matrix.alias("m").join(people.alias("p"), mine).select("fila", "m.*")
+    columns = []
+    for section in sections:
+        here = F.col(group) == section
+        columns.append(F.max(F.when(here, F.col(name))).alias(section))
+        columns.append(F.max(F.when(here, F.col("n"))).alias(f"{section}_n"))
+    return rows.groupBy("fila", "es_total", "periodo").agg(*columns)
 
 
 def period_matrix(cells: DataFrame, keys: Sequence[str], periods: Sequence[str]) -> DataFrame:
@@ -29,11 +78,10 @@ def period_matrix(cells: DataFrame, keys: Sequence[str], periods: Sequence[str])
     Of several groups that show the same period, the one with the greatest group
     period counts (NULL lowest). Periods not listed do not appear or count.
     """
-    last = F.max(F.struct("periodo_grupo", "total_periodo")).getField("total_periodo")
-    shown = cells.groupBy(*keys, "periodo").agg(last.alias("n"))
-    matrix = shown.groupBy(*keys).pivot("periodo", list(periods)).agg(F.first("n"))
-    total = sum((F.coalesce(quoted(p), F.lit(0)) for p in periods), F.lit(0).cast("bigint"))
-    return matrix.withColumn(TOTAL, total)
+    matrix = shown_cells(cells, keys).groupBy(*keys).pivot("periodo", list(periods)).agg(F.first("n"))
+    # An array and not a chain of sums, which a long list would nest too deep.
+    counts = F.array(*[F.coalesce(quoted(p), F.lit(0)).cast("bigint") for p in periods]).cast("array<bigint>")
+    return matrix.withColumn(TOTAL, F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, b: a + b))
 
 
 def matrix_total(matrix: DataFrame, name: str, periods: Sequence[str]) -> DataFrame:

@@ -13,6 +13,9 @@ from eavista.operators.matrix import (
     TOTAL,
     TOTAL_LABEL,
     column_values,
+    long_matrix,
+    long_side_by_side,
+    long_total,
     matrix_total,
     period_matrix,
     side_by_side,
@@ -90,7 +93,7 @@ def long_section(cells: DataFrame, section: str) -> DataFrame:
 
 
 def periods_of(tables: Tables) -> list[str]:
-    """The listed periods; they become column names, so they must reach the driver."""
+    """The listed periods on the driver, for a caller that wants them as columns."""
     return column_values(period_list(tables))
 
 
@@ -108,9 +111,29 @@ def zipped(cells: DataFrame, periods: Sequence[str]) -> DataFrame:
     return side_by_side(matrix, "rol", "nombre", SECTIONS, periods).orderBy("fila")
 
 
-def professor_report(tables: Tables) -> dict[str, DataFrame]:
+def long_columns(section: str) -> list[tuple[str, str]]:
+    return [(section.upper(), "nombre"), ("Es total", "es_total"), ("Periodo", "periodo"), ("Total", "n")]
+
+
+def professor_report(tables: Tables, periodos: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Matrices in long form; wide, with a column per period, for the ``periodos`` passed."""
     cells = materialized(workload(tables))
-    periods = periods_of(tables)
+    if periodos is not None:
+        return wide_report(tables, cells, periodos)
+    periods = materialized(period_list(tables))
+    matrix = materialized(long_matrix(cells, ["rol", "nombre"], periods))
+    out = {"periodos": periods.orderBy("periodo")}
+    for section, name in zip(SECTIONS, ("directores", "evaluadores")):
+        mine = matrix.filter(F.col("rol") == section).drop("rol")
+        out[name] = labelled(mine.orderBy("nombre", "es_total", "periodo"), long_columns(section))
+        total = long_total(mine, "nombre", periods).orderBy("es_total", "periodo")
+        out[f"{name}_total"] = labelled(total, long_columns(section))
+    zipped_rows = long_side_by_side(matrix, "rol", "nombre", SECTIONS)
+    out["lado_a_lado"] = zipped_rows.orderBy("fila", "es_total", "periodo")
+    return out
+
+
+def wide_report(tables: Tables, cells: DataFrame, periods: Sequence[str]) -> dict[str, DataFrame]:
     out = {"periodos": period_list(tables)}
     for section, name in zip(SECTIONS, ("directores", "evaluadores")):
         columns = [(section.upper(), "nombre"), *[(p, p) for p in periods], (TOTAL_LABEL, TOTAL)]

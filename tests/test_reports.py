@@ -296,6 +296,37 @@ def test_matrix_keeps_the_greatest_group_and_listed_periods(spark):
     assert rows_of(zipped) == [(1, "Ana", "Eva"), (2, "Luis", "Luis")]
 
 
+def test_professor_report_in_long_form(spark):
+    t = professor_tables(spark)
+    long = professors.professor_report(t)
+    assert rows_of(long["directores"]) == [
+        ("Ana", 0, "2024-1", 6), ("Ana", 1, "Total general", 6), ("Luis", 1, "Total general", 0),
+    ]
+    assert rows_of(long["directores_total"]) == [
+        ("Total general", 0, "2020-1", None), ("Total general", 0, "2021-1", None),
+        ("Total general", 0, "2023-2", None), ("Total general", 0, "2024-1", 6),
+        ("Total general", 1, "Total general", 6),
+    ]
+    assert rows_of(long["lado_a_lado"]) == [
+        (1, 0, "2024-1", "Ana", 6, None, None), (1, 1, "Total general", "Ana", 6, "Eva", 0),
+        (2, 0, "2024-1", None, None, "Luis", 4), (2, 1, "Total general", "Luis", 0, "Luis", 4),
+    ]
+    wide = professors.professor_report(t, ["2024-1"])
+    assert rows_of(wide["directores"]) == [("Ana", 6, 6), ("Luis", None, 0)]
+    assert rows_of(wide["directores_total"]) == [("Total general", 6, 6)]
+
+
+def test_professor_report_with_more_than_ten_thousand_periods(spark):
+    n = 10_050
+    values = [v for i in range(1, n + 1) for v in ((i, 302, "1"), (i, 202, f"P {i:05d}"))]
+    t = tiny_tables(spark, solicitudes=[project(i) for i in range(1, n + 1)], valores_campos=values)
+    sections = professors.professor_report(t)
+    rows = rows_of(sections["directores"])
+    assert rows[0] == ("User 1", 0, "P 00001", 2) and rows[-1] == ("User 1", 1, "Total general", 2 * n)
+    assert len(rows) == n + 1
+    assert sections["directores_total"].count() == sections["lado_a_lado"].count() == n + 1
+
+
 def test_modality_hierarchy_tells_null_modality_from_subtotal(spark):
     t = tiny_tables(
         spark,
