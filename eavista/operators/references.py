@@ -20,8 +20,8 @@ from eavista.operators.attributes import (
     reference,
 )
 from eavista.operators.filters import projects_of
-from eavista.operators.skew import SPREAD_FROM_BYTES, spread_join
-from eavista.sources.shared import estimated_bytes, fits_broadcast
+from eavista.operators.skew import spread_join
+from eavista.sources.shared import fits_broadcast
 from eavista.sources.tables import Tables
 
 # The attribute that names each person's role, and its phase.
@@ -46,10 +46,6 @@ def attach_catalog(projects: DataFrame, ref: str, catalog: DataFrame, name: str)
     return projects.join(entries, F.col(ref) == F.col(f"{name}_ok"), "left")
 
 
-def large(tables: Tables) -> bool:
-    return estimated_bytes(tables.valores_campos) >= SPREAD_FROM_BYTES
-
-
 def idea_titles(tables: Tables) -> DataFrame:
     """Live ideas with any idea-phase value, and their title."""
     ideas = projects_of(tables.solicitudes, IDEA_PROJECT_TYPE).select(F.col("id").alias("idea_id"))
@@ -59,13 +55,13 @@ def idea_titles(tables: Tables) -> DataFrame:
     return ideas.join(titles, "idea_id")
 
 
-def linked_idea_titles(tables: Tables, spread: bool | None = None) -> DataFrame:
+def linked_idea_titles(tables: Tables, spread: bool = True) -> DataFrame:
     """(project, title of its idea) for the projects whose idea is live."""
     links = pivot_attributes(tables.valores_campos, tables.campos, {"idea_id": IDEA}).filter(
         F.col("idea_id").isNotNull()
     )
     titles = idea_titles(tables)
-    if large(tables) if spread is None else spread:
+    if spread:
         found = spread_join(links, titles, "idea_id", spread_on="solicitud_id")
     else:
         found = links.join(titles, "idea_id")

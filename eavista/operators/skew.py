@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from eavista.sources.shared import materialized
+
 # Rows of one key that a task takes before the key is cut into slices.
 ROWS_PER_SLICE = 2_000_000
 
-# Inputs below this many bytes cannot hold a key that overloads a task.
-SPREAD_FROM_BYTES = 4 * 2**30
-
 
 def hot_keys(keys: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """The keys with more than ``rows_per_slice`` rows, and the slices each needs.
@@ -28,16 +27,20 @@ def spread_join(
     one: DataFrame,
     key: str,
     spread_on: str,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Inner join of ``many`` with ``one`` row per key, hot keys cut into slices.
 
     Rows of a hot key go to a slice by the hash of ``spread_on``; the matching row
     of ``one`` is repeated once per slice. All other keys join as usual. Adaptive
     execution cannot split such a join when ``one`` is itself the result of joins
-    or aggregations on the same key, which is when this is used.
+    or aggregations on the same key, which is when this is used. The rows per key
+    are counted when the join is built; without a hot key it is a plain one.
     """
-    hot = F.broadcast(hot_keys(many, key, rows_per_slice))
+    hot = materialized(hot_keys(many, key, rows_per_slice or ROWS_PER_SLICE))
+    if hot.isEmpty():
+        return many.join(one, key)
+    hot = F.broadcast(hot)
     slices = F.coalesce(F.col("slices"), F.lit(1))
     sliced = many.join(hot, key, "left").withColumn(
         "slice", F.pmod(F.xxhash64(spread_on), slices).cast("int")

@@ -8,7 +8,7 @@ from eavista.functions.scalars import preferred_text
 from eavista.operators.attributes import greatest
 from eavista.operators.filters import live
 from eavista.operators.members import beneficiaries
-from eavista.operators.references import large, project_frame
+from eavista.operators.references import project_frame
 from eavista.operators.skew import spread_join
 from eavista.sources.tables import Tables
 
@@ -34,7 +34,7 @@ KEYS = [
 
 
 def beneficiary_report(
-    tables: Tables, spread: bool | None = None, broadcast_people: bool | None = None
+    tables: Tables, spread: bool = True, broadcast_people: bool | None = None
 ) -> DataFrame:
     """Beneficiaries of live projects of any type, by programme and name."""
     types = tables.tipos_solicitudes.select(
@@ -55,7 +55,7 @@ def beneficiary_report(
         "evaluador_name", "titulo_idea", "titulo_propio", "codigo",
     )
     named = beneficiaries(tables)
-    if large(tables) if spread is None else spread:
+    if spread:
         rows = spread_join(named, projects, "solicitud_id", spread_on="usuario_id")
     else:
         rows = named.join(projects, "solicitud_id")

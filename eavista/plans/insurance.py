@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from eavista.operators.filters import projects_of
 from eavista.operators.members import member_counts, repeat_copies
-from eavista.operators.references import large, project_frame
+from eavista.operators.references import project_frame
 from eavista.operators.skew import spread_join
 from eavista.sources.tables import Tables
 
@@ -23,13 +23,13 @@ TITLE = "Estudiantes propuestas aprobadas para afiliación ARL"
 CAMPUS = "PRINCIPAL"
 
 
-def insurance_report(tables: Tables, spread: bool | None = None) -> DataFrame:
+def insurance_report(tables: Tables, spread: bool = True) -> DataFrame:
     """Members by name; ties by document and project, so a hot name still splits."""
     projects = project_frame(
         tables, projects_of(tables.solicitudes, APPROVED).select("id"), levels=True
     ).select(F.col("id").alias("solicitud_id"), "nivel")
     members = member_counts(tables)
-    if large(tables) if spread is None else spread:
+    if spread:
         rows = spread_join(members, projects, "solicitud_id", spread_on="usuario_id")
     else:
         rows = members.join(projects, "solicitud_id")

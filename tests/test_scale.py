@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from eavista.operators import ranking
+from eavista.operators import ranking, skew
 from eavista.operators.references import (
     ROLES,
     linked_idea_titles,
@@ -14,6 +14,7 @@ from eavista.operators.skew import hot_keys, spread_join
 from eavista.plans import general, insurance, modality, professors, statistics
 from eavista.plans.beneficiaries import beneficiary_report
 from eavista.sources.tables import read_files, write_files
+from tests.tiny import project, tiny_tables
 
 
 def plan_of(frame) -> str:
@@ -54,6 +55,17 @@ def test_a_hot_key_reaches_many_tasks(spark, settings):
     assert sum(spread) == 20000 and len(spread) == 4 and max(spread) < 12000
 
 
+def test_counted_rows_decide_at_any_size(spark, monkeypatch):
+    projects = [project(i) for i in range(1, 301)] + [project(900, 1)]
+    values = [(i, 301, "900") for i in range(1, 301)] + [(900, 101, "Idea")]
+    t = tiny_tables(spark, solicitudes=projects, valores_campos=values)
+    assert "slice" not in plan_of(linked_idea_titles(t))
+    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 100)
+    found = linked_idea_titles(t)
+    assert "slice" in plan_of(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(i, "Idea") for i in range(1, 301)]
+
+
 def test_spread_and_large_people_paths_give_the_same_reports(tables):
     assert same_rows(linked_idea_titles(tables, spread=False), linked_idea_titles(tables, spread=True))
     assert same_rows(
