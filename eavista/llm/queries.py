@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eavista.llm import embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, suffix_dedup, token_files, toxicity, url_filter
+from eavista.llm import (
+    embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, prefix_trie, suffix_dedup, token_files, toxicity, url_filter,
+)
 from eavista.llm.shared import table
 
 
@@ -56,15 +58,67 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_exact_dedup, op3_embedding_dedup, op4_url_filter, op5_toxicity, op6_language_id, op7_packing, op8_token_files, op9_minhash_dedup,
-        op10_mixing,
+        op10_mixing, op12_prefix_trie,
     )
 }
 
+# CRC-32 by its table of 256 entries, as in every text on it; ``{0}`` is a list of byte values.
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+    lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)"""
+_CRC = "xor(list_reduce([4294967295] || {0}, lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295)"
+
 ORACLE = {
+    "op12_prefix_trie": f"""
+        WITH said AS MATERIALIZED (
+            SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_sha,
+                length(coalesce(text, '')) AS chars,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        ids AS MATERIALIZED (
+            SELECT conv_id, conv_id - conv_id % 100 AS base,
+                {_CRC.format("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM said), {_CRC_TABLE}
+        ),
+        placed AS (
+            SELECT ids.conv_id, 0 AS tail, pos, turn_sha, chars FROM ids JOIN said ON said.conv_id = base AND pos < h
+            UNION ALL SELECT ids.conv_id, 1, pos, turn_sha, chars FROM ids JOIN said ON said.conv_id = ids.conv_id AND pos >= h
+        ),
+        whole AS MATERIALIZED (
+            SELECT ids.conv_id, coalesce(list(turn_sha ORDER BY tail, pos) FILTER (turn_sha IS NOT NULL), []) AS shas,
+                coalesce(list(chars ORDER BY tail, pos) FILTER (turn_sha IS NOT NULL), []) AS sizes
+            FROM ids LEFT JOIN placed ON placed.conv_id = ids.conv_id GROUP BY ids.conv_id
+        ),
+        begun AS MATERIALIZED (
+            SELECT conv_id, len(shas) AS n, d, shas[1:d] AS beginning, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS chars
+            FROM (SELECT *, unnest(range(0, len(shas) + 1)) AS d FROM whole)
+        ),
+        nodes AS MATERIALIZED (
+            SELECT d, beginning, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+            FROM begun GROUP BY d, beginning
+        ),
+        children AS MATERIALIZED (SELECT d - 1 AS d, beginning[1:d - 1] AS beginning, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+        valued AS MATERIALIZED (
+            SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS leaf
+            FROM nodes LEFT JOIN children USING (d, beginning)
+        ),
+        sums AS (
+            SELECT up AS d, beginning[1:up] AS beginning, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+            FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM valued) GROUP BY ALL
+        )
+        SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children,
+            CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM valued v JOIN sums USING (d, beginning) LEFT JOIN nodes p ON p.d = v.d - 1 AND p.beginning = v.beginning[1:v.d - 1]
+    """,
     "op3_embedding_dedup": """
         WITH RECURSIVE fit AS MATERIALIZED (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
