@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from eavista.llm import (
-    embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, prefix_trie, suffix_dedup, token_files, toxicity, url_filter,
+    embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, prefix_trie, spelling, suffix_dedup, token_files, toxicity, url_filter,
 )
 from eavista.llm.shared import table
 
@@ -62,11 +62,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.thinned_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_exact_dedup, op3_embedding_dedup, op4_url_filter, op5_toxicity, op6_language_id, op7_packing, op8_token_files, op9_minhash_dedup,
-        op10_mixing, op12_prefix_trie,
+        op10_mixing, op12_prefix_trie, op13_spelling_variants,
     )
 }
 
@@ -76,6 +80,50 @@ _CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce([i] ||
 _CRC = "xor(list_reduce([4294967295] || {0}, lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295)"
 
 ORACLE = {
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE runs AS MATERIALIZED (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS n FROM (
+                SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+            ) WHERE length(run) >= 5 GROUP BY ALL
+        ),
+        -- 256 byte values and their CRC steps; letters beyond ASCII are two bytes of UTF-8
+        hashed AS (
+            SELECT run, n, {_CRC.format("""flatten(list_transform(string_split(named, ''), lambda x: CASE
+                WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+                ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))""")} AS h
+            FROM runs, {_CRC_TABLE}
+        ),
+        vocabulary AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+                SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed
+            ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+        ),
+        -- a word and its n patterns with one character open, and its n rests with one left out
+        gaps AS MATERIALIZED (
+            SELECT word, n, length(word) AS size, i, word[1:i - 1] || word[i + 1:] AS rest
+            FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)
+        ),
+        near AS MATERIALIZED (
+            SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+            UNION SELECT a.word, v.word, v.n FROM gaps a JOIN vocabulary v ON a.rest = v.word
+            UNION SELECT v.word, b.word, b.n FROM gaps b JOIN vocabulary v ON b.rest = v.word
+        ),
+        ranked AS (
+            SELECT word, other, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near
+            FROM near
+        ),
+        formed AS MATERIALIZED (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 2 * v.n THEN other END AS form,
+                CASE WHEN r.n >= 2 * v.n THEN r.n END AS form_n
+            FROM vocabulary v LEFT JOIN ranked r ON r.word = v.word AND place = 1
+        ),
+        ways AS (
+            SELECT word, word AS root, form AS onward FROM formed
+            UNION ALL SELECT ways.word, onward, formed.form FROM ways JOIN formed ON formed.word = onward
+        )
+        SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN ways w ON w.word = f.word AND w.onward IS NULL
+    """,
     "op12_prefix_trie": f"""
         WITH said AS MATERIALIZED (
             SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_sha,
