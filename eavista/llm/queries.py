@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from eavista.llm import (
-    embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, prefix_trie, spelling, suffix_dedup, token_files, toxicity, url_filter,
+    embedding_dedup, exact_dedup, language, minhash_dedup, mixing, packing, prefix_trie, spelling, subword_lattice, suffix_dedup,
+    token_files, toxicity, url_filter,
 )
 from eavista.llm.shared import table
 
@@ -58,6 +59,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op11_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_lattice.scored(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -70,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_exact_dedup, op3_embedding_dedup, op4_url_filter, op5_toxicity, op6_language_id, op7_packing, op8_token_files, op9_minhash_dedup,
-        op10_mixing, op12_prefix_trie, op13_spelling_variants,
+        op10_mixing, op11_lattice_scores, op12_prefix_trie, op13_spelling_variants,
     )
 }
 
