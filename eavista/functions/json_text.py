@@ -1,8 +1,9 @@
-"""Length of, and membership in, JSON documents kept as text.
+"""Length of, and membership in, JSON documents kept as text, of any size and depth.
 
-No document becomes a variant, whose size is limited and which refuses repeated keys.
-Valid text is text of JSON tokens that parses as one value. What the parser cannot judge
-(``_beyond_parser``) fails; it is not taken for malformed.
+Lists of scalars, which nearly all documents are, are a regular language: one expression tells
+whether a text is one, and its tokens are counted or taken out. Other texts are read once by a
+strict parser that skips over the value, so no document is built. What they hold is then told
+by their tokens and a running depth, in one pass whatever the number of levels.
 """
 
 from __future__ import annotations
@@ -11,26 +12,36 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# The quantifiers are possessive, so that matching needs no stack however long a string is.
+# The quantifiers are possessive, so that matching needs no stack however long a text is.
+_SPACE = r"[ \t\r\n]*+"
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_CHARACTER = r'(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))'
 _STRICT_STRING = r'"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1F]*+)*+"'
 _NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
-# The parser itself also takes single quotes and control characters.
-_ONLY_TOKENS = rf"^(?:[ \t\r\n,:\[\]{{}}]++|{_STRICT_STRING}|{_NUMBER}|true|false|null)*+\z"
-_INNERMOST_OBJECT = rf'({_STRING})|\{{(?:[^{{}}"]++|{_STRING})*+\}}'
+_SCALAR = rf"(?:{_STRICT_STRING}|{_NUMBER}|true|false|null)"
+_FLAT_LIST = rf"^{_SPACE}\[{_SPACE}(?:{_SCALAR}{_SPACE}(?:,{_SPACE}{_SCALAR}{_SPACE})*+)?+\]{_SPACE}\z"
 
-# Limits of the parser: levels (two less, for the wrapping), characters of a key, digits of a number.
-_MOST_LEVELS = 998
-_LONG_KEY = r'"(?:[^"\\]|\\.){50000,}+"[ \t\r\n]*+:'
-_LONG_NUMBER = r"[0-9.eE+-]{1000}"
+# The parser bounds the length of keys alone by no option; longer ones become empty before it.
+_PARSED_KEY = 50_000
+_LONG_KEY = rf'("{_CHARACTER}{{0,9999}}+"|{_STRING}(?!{_SPACE}:))|("){_CHARACTER}{{10000,}}+(")(?={_SPACE}:)'
+_UNBOUNDED = str(2**31 - 1)
+_STRICT = {
+    "maxNestingDepth": _UNBOUNDED,
+    "maxNumLen": _UNBOUNDED,
+    "maxStringLen": _UNBOUNDED,
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+
+# Tokens whose moves are added up together.
+_BLOCK = 64
 
 
 def json_length(text: Column) -> Column:
     """``JSON_LENGTH``: array size, number of different object keys, 1 for a scalar; NULL for malformed text."""
-    length = F.coalesce(
-        F.json_array_length(text), F.array_size(F.array_distinct(F.json_object_keys(text))), F.lit(1)
-    )
-    return F.when(_valid(text), length)
+    first = F.regexp_extract(text, rf"^{_SPACE}(.)", 1)
+    nested = F.when(first == "[", _elements(text)).when(first == "{", _different_keys(text)).otherwise(F.lit(1))
+    return F.when(text.rlike(_FLAT_LIST), F.regexp_count(text, F.lit(_SCALAR))).when(_one_value(text), nested)
 
 
 def json_string_members(text: Column) -> Column:
@@ -40,58 +51,105 @@ def json_string_members(text: Column) -> Column:
     an array at any depth of nested arrays. Numbers and strings inside objects do
     not count.
     """
-    shown = F.when(F.contains(text, F.lit("{")), _without_objects(text)).otherwise(text)
-    return F.when(_valid(text), _bind(F.regexp_extract_all(shown, F.lit(_STRING), F.lit(0)), _decoded))
+    every = F.regexp_extract_all(text, F.lit(_STRING), F.lit(0))
+    outside = _kept(text, rf"{_STRING}|[{{}}]", "{", "}", 0)
+    shown = F.when(F.contains(text, F.lit("{")) & ~text.rlike(_FLAT_LIST), outside).otherwise(every)
+    return F.when(text.rlike(_FLAT_LIST) | _one_value(text), _bind(shown, _decoded))
+
 
+def _one_value(text: Column) -> Column:
+    """Whether the text is one JSON value.
 
-def _valid(text: Column) -> Column:
-    """Whether the text is one JSON value; NULL for NULL."""
-    # The parser ignores what follows a value: a text that closes one wrapping breaks the other.
-    in_array = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    in_object = F.array_size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))) == 1
-    too_much = F.raise_error(F.lit("JSON text beyond the limits of the parser")).cast("boolean")
-    return (
-        F.when(text.isNull(), F.lit(None).cast("boolean"))
-        .when(~text.rlike(_ONLY_TOKENS), F.lit(False))
-        .when(F.coalesce(in_array & in_object, F.lit(False)), F.lit(True))
-        .when(_beyond_parser(text), too_much)
-        .otherwise(F.lit(False))
-    )
+    It stands as a member of an object and as the element of an array, before a last member
+    that no text can hold. Text that goes on behind its value, or closes what is around
+    it, is malformed in one of the two.
+    """
+    mark = F.sha2(text, 256)
+    value = F.when(
+        F.octet_length(text) >= _PARSED_KEY, F.regexp_replace(text, F.lit(_LONG_KEY), F.lit("$1$2$3"))
+    ).otherwise(text)
 
+    def ends(value: Column) -> Column:
+        around = F.concat(F.lit('{"m":'), value, F.lit(',"l":['), value, F.lit('],"end":"'), mark, F.lit('"}'))
+        return F.coalesce(F.from_json(around, "struct<end string>", _STRICT)["end"] == mark, F.lit(False))
 
-def _beyond_parser(text: Column) -> Column:
-    deep = _deepest(text, "[{", "]}") > _MOST_LEVELS
-    return (F.length(text) >= _MOST_LEVELS) & (deep | text.rlike(_LONG_KEY) | text.rlike(_LONG_NUMBER))
+    return _bind(value, ends)
 
 
-def _deepest(text: Column, opening: str, closing: str) -> Column:
-    """The most brackets of these kinds that are open at once, those in strings aside."""
-    kinds = "".join("\\" + c for c in opening + closing)
-    tokens = F.regexp_extract_all(text, F.lit(rf"{_STRING}|[{kinds}]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+def _elements(text: Column) -> Column:
+    """The number of elements of a valid array that is not empty: its own commas, and one."""
+    tokens = F.regexp_extract_all(text, F.lit(rf"{_STRING}|[\[\]{{}},]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("commas"))
 
     def step(state: Column, token: Column) -> Column:
-        move = F.when(token.isin(*opening), 1).when(token.isin(*closing), -1).otherwise(0)
-        depth = state["depth"] + move
-        return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
+        comma = F.when((token == ",") & (state["depth"] == 1), 1).otherwise(0)
+        depth = state["depth"] + _move(token, "[{", "]}")
+        return F.struct(depth.alias("depth"), (state["commas"] + comma).alias("commas"))
+
+    return F.aggregate(tokens, start, step, lambda state: state["commas"] + 1)
+
+
+def _different_keys(text: Column) -> Column:
+    keys = _kept(text, rf"{_STRING}{_SPACE}:|{_STRING}|[\[\]{{}}]", "[{", "]}", 1, ending=":")
+    return F.size(F.array_distinct(_bind(keys, _decoded)))
+
+
+def _kept(text: Column, token: str, opening: str, closing: str, level: int, ending: str = "") -> Column:
+    """The string literals among the tokens (those with that ending) that stand so many brackets deep.
+
+    A token's depth is the sum of the moves before it: of blocks of blocks, of blocks, and
+    within its own block.
+    """
+
+    def wanted(tokens: Column, moves: Column, sums: Column, above: Column) -> Column:
+        def of_block(block: Column) -> Column:
+            group = F.floor(block / _BLOCK).cast("int")
+            start = _sum(above, F.lit(1), group) + _sum(sums, group * _BLOCK + 1, block % _BLOCK)
+            first = block * _BLOCK + 1
+
+            def there(start: Column) -> Column:
+                return F.filter(
+                    F.slice(tokens, first, _BLOCK),
+                    lambda token, at: F.startswith(token, F.lit('"'))
+                    & F.endswith(token, F.lit(ending))
+                    & (start + _sum(moves, first, at) == level),
+                )
+
+            return _bind(start, there)
+
+        kept = F.flatten(F.transform(_blocks(tokens), of_block))
+        return F.transform(kept, lambda token: F.regexp_extract(token, _STRING, 0)) if ending else kept
+
+    def moved(tokens: Column) -> Column:
+        moves = F.transform(tokens, lambda token: _move(token, opening, closing))
+        return _bind(moves, lambda moves: _bind(_block_sums(moves), lambda sums: _bind(
+            _block_sums(sums), lambda above: wanted(tokens, moves, sums, above)
+        )))
+
+    return _bind(F.regexp_extract_all(text, F.lit(token), F.lit(0)), moved)
+
+
+def _blocks(values: Column) -> Column:
+    """The numbers of the blocks of an array that is not empty."""
+    return F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int"))
+
+
+def _sum(values: Column, start: Column, length: Column) -> Column:
+    return F.aggregate(F.slice(values, start, length), F.lit(0), lambda total, value: total + value)
+
 
-    return F.aggregate(tokens, start, step, lambda state: state["most"])
+def _block_sums(values: Column) -> Column:
+    return F.transform(_blocks(values), lambda block: _sum(values, block * _BLOCK + 1, F.lit(_BLOCK)))
 
 
-def _without_objects(text: Column) -> Column:
-    """Valid JSON less its objects, the innermost taken out first, level by level."""
-    levels = F.sequence(F.lit(1), F.greatest(_deepest(text, "{", "}"), F.lit(1)))
-    return F.aggregate(
-        levels, text, lambda rest, _: F.regexp_replace(rest, F.lit(_INNERMOST_OBJECT), F.lit("$1"))
-    )
+def _move(token: Column, opening: str, closing: str) -> Column:
+    return F.when(token.isin(*opening), 1).when(token.isin(*closing), -1).otherwise(0)
 
 
 def _decoded(literals: Column) -> Column:
     """The values of JSON string literals."""
     array = F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]"))
-    values = F.from_json(array, "array<string>", {"maxStringLen": str(2**31 - 1)})
-    lost = F.raise_error(F.lit("JSON strings beyond the limits of the parser")).cast("array<string>")
-    return F.when(F.size(values) == F.size(literals), values).otherwise(lost)
+    return F.from_json(array, "array<string>", _STRICT)
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:

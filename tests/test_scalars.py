@@ -1,4 +1,6 @@
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,11 +95,71 @@ def test_one_string_above_the_limit_of_strings(spark):
     assert tuple(found.first()) == (2, 21_000_000)
 
 
-@pytest.mark.parametrize("text", ["[" * 1200 + "]" * 1200, '{"' + "k" * 60_000 + '":1}', "[" + "1" * 1100 + "]"])
-def test_json_beyond_the_parser_fails(spark, text):
-    for function in (json_length, json_string_members):
-        with pytest.raises(Exception, match="beyond the limits"):
-            apply(spark, function, [text])
+def nest(value, levels, opening, closing):
+    return opening * levels + value + closing * levels
+
+
+BEYOND = {
+    nest('"a"', 5000, "[", "]"): (1, ["a"]),
+    nest('"a"', 5000, "[", "]") + "]": (None, None),
+    nest('"a"', 5000, '{"k":', "}"): (1, []),
+    '["b",' + nest('"a"', 5000, '[{"k":', "}]") + ',"c"]': (3, ["b", "c"]),
+    '{"' + "k" * 60_000 + '":1,"' + "k" * 60_000 + '":[2],"b":3}': (2, []),
+    '{"' + "k" * 60_000 + "\t" + '":[1]}': (None, None),
+    '["x",' + "1," * 30_000 + '[],": y",{"k":1}]': (30_004, ["x", ": y"]),
+    "[" + "1" * 5000 + "]": (1, []),
+    "[[" + "1" * 5000 + ',"a"]]': (1, ["a"]),
+    "[" + ",".join(f'"{i}"' for i in range(100_000)) + "]": (100_000, [str(i) for i in range(100_000)]),
+    "[" + ",".join(f'["{i}"]' for i in range(100_000)) + "]": (100_000, [str(i) for i in range(100_000)]),
+    "[" + ",".join(f'{{"{i}":"v"}},"{i}"' for i in range(50_000)) + "]": (100_000, [str(i) for i in range(50_000)]),
+    "{" + ",".join(f'"{i % 40_000}":[]' for i in range(100_000)) + "}": (40_000, []),
+}
+
+
+def test_json_of_any_size(spark):
+    frame = spark.createDataFrame([(t,) for t in BEYOND], "v string")
+    found = frame.select(json_length(F.col("v")).alias("n"), json_string_members(F.col("v")).alias("m")).collect()
+    assert [(r.n, r.m) for r in found] == list(BEYOND.values())
+
+
+def test_json_goes_on_behind_its_value(spark):
+    texts = ['1,"c":2', '1],"c":[2', "1,2", '[1],[2]', '{"a":1},"b":{}', '[[1]],"l":[[2]]', '"x":1', '[{}]}', "{}{}", "[[]"]
+    assert apply(spark, json_length, texts) == [None] * len(texts)
+
+
+def members_of(value):
+    if isinstance(value, str):
+        return [value]
+    return [m for part in value for m in members_of(part)] if isinstance(value, list) else []
+
+
+def test_json_against_the_standard_parser(spark):
+    """Random documents, and the same with one character taken out or put in."""
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind >= 5:
+            inner = [value(depth - 1) for _ in range(rng.randrange(4))]
+            return inner if kind == 5 else dict(zip("abcd", inner))
+        return (None, True, rng.randrange(-99, 99), rng.choice([1.5, -2e9, 0.25]), rng.choice(['', '1', 'é"', "[{,", "\\", "]}:"]))[kind]
+
+    texts = []
+    for _ in range(400):
+        text = json.dumps(value(4), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        at = rng.randrange(len(text) + 1)
+        texts += [text, text[:at] + text[at + 1:], text[:at] + rng.choice('[]{},:"1 ') + text[at:]]
+
+    def expected(text):
+        try:
+            parsed = json.loads(text, parse_constant=lambda name: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            return None, None
+        return (len(parsed) if isinstance(parsed, (list, dict)) else 1), members_of(parsed)
+
+    wanted = [expected(text) for text in texts]
+    assert apply(spark, json_length, texts) == [n for n, _ in wanted]
+    assert apply(spark, json_string_members, texts) == [m for _, m in wanted]
 
 
 def test_days_after_keeps_type(spark):
