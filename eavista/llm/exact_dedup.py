@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eavista.llm.marked import bitmap, without
-from eavista.llm.shared import blobs, partitions, stored
+from eavista.llm.shared import blobs, free_names, partitions, stored
 
 # Rows that a task sorts at a time; more become further sources with codes of their own.
 SOURCE_ROWS = 1_000_000
@@ -185,7 +185,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     if rows.filter("rows > 1").isEmpty():
         return without(docs, "doc_id", rows.filter("not kept").select(F.col("doc_id").alias("key")))
     # An id repeats: its rows stay by their texts, and equal rows become one.
-    stay = groups.filter("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_text"))
-    docs = docs.withColumn("_sha256", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_stay")) & (F.col("_sha256") == F.col("_text"))
-    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_sha256"]).drop("_sha256")
+    digest, stays, of = free_names(docs, "_sha256", "_stay", "_text")
+    stay = groups.filter("kept").select(F.col("doc_id").alias(stays), F.col("text_sha256").alias(of))
+    docs = docs.withColumn(digest, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(stays)) & (F.col(digest) == F.col(of))
+    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from eavista.llm.shared import free_names
+
 PLACES = 1 << 24
 
 
@@ -41,9 +43,10 @@ def bitmap(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
 
 def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """The rows whose ``key`` is none of ``gone.key`` (null is a key like others); only rows that may be meant move."""
-    gone = gone.select(F.col("key").alias("_gone"))
-    maybe = bitmap(gone.select(F.xxhash64("_gone").alias("h")), "h")
-    hashed = rows.withColumn("_maybe", maybe(F.xxhash64(F.col(key).cast("long"))))
-    spared = hashed.filter(~F.col("_maybe")).drop("_maybe")
-    asked = hashed.filter("_maybe").drop("_maybe")
-    return spared.union(asked.join(gone, asked[key].cast("long").eqNullSafe(F.col("_gone")), "left_anti"))
+    mark, absent = free_names(rows, "_maybe", "_gone")
+    gone = gone.select(F.col("key").alias(absent))
+    maybe = bitmap(gone.select(F.xxhash64(absent).alias("h")), "h")
+    hashed = rows.withColumn(mark, maybe(F.xxhash64(F.col(key).cast("long"))))
+    spared = hashed.filter(~F.col(mark)).drop(mark)
+    asked = hashed.filter(F.col(mark)).drop(mark)
+    return spared.union(asked.join(gone, asked[key].cast("long").eqNullSafe(F.col(absent)), "left_anti"))

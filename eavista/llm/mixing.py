@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eavista.llm.shared import stored
+from eavista.llm.shared import free_names, stored
 
 # Most passes over any source.
 REPEATS = 2.0
@@ -104,28 +104,38 @@ def _planned(rows: DataFrame, repeats, target, budget, seed: int) -> DataFrame:
     )
 
 
-def _used(docs: DataFrame, repeats, target, budget, seed: int) -> DataFrame:
+OWN = ("_source", "_block", "_part", "pass_no", "block_rank", "_parts")
+
+
+def _used(docs: DataFrame, repeats, target, budget, seed: int) -> tuple[DataFrame, list[str]]:
+    """The rows of ``docs``, each as often as used, and the names of the columns ``OWN`` among theirs."""
+    names = free_names(docs, *OWN)
+    name = dict(zip(OWN, names))
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
     rows = docs.withColumns({
-        "_source": source,
-        "_block": F.pmod(place, F.lit(BLOCKS)).cast("int"),
-        "_part": F.pmod(F.shiftrightunsigned(place, 32), F.lit(PARTS)).cast("int"),
+        name["_source"]: source,
+        name["_block"]: F.pmod(place, F.lit(BLOCKS)).cast("int"),
+        name["_part"]: F.pmod(F.shiftrightunsigned(place, 32), F.lit(PARTS)).cast("int"),
     })
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
-    sizes = stored(rows.select("_source", "_block", "_part", tokens.cast("long").alias("_tokens")), "sizes")
+    keys = [F.col(name[key]).alias(key) for key in ("_source", "_block", "_part")]
+    sizes = stored(rows.select(*keys, tokens.cast("long").alias("_tokens")), "sizes")
     plan = _planned(sizes, repeats, target, budget, seed)
-    if plan.count() <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
-    return rows.join(plan, ["_source", "_block"]).filter("_parts is null or _part < _parts")
+    few = plan.count() <= BROADCAST_ROWS
+    plan = plan.select(*[F.col(key).alias(name[key]) for key in OWN if key != "_part"])
+    used = rows.join(F.broadcast(plan) if few else plan, [name["_source"], name["_block"]])
+    parts = F.col(name["_parts"])
+    return used.filter(parts.isNull() | (F.col(name["_part"]) < parts)), names
 
 
 def mixed(docs: DataFrame, repeats=REPEATS, target=None, budget=None, seed: int = 10) -> DataFrame:
-    """The rows of ``docs``, with their columns, each as often as it is used."""
-    return _used(docs, repeats, target, budget, seed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, with their columns, whatever their names, each as often as it is used."""
+    used, names = _used(docs, repeats, target, budget, seed)
+    return used.drop(*names)
 
 
 def schedule(docs: DataFrame, repeats=REPEATS, target=None, budget=None, seed: int = 10) -> DataFrame:
     """A row per use: ``doc_id, source, pass_no, block, block_rank``; a pass runs through its blocks by rank."""
-    used = _used(docs.select("doc_id", "source", "text"), repeats, target, budget, seed)
+    used, _ = _used(docs.select("doc_id", "source", "text"), repeats, target, budget, seed)
     return used.select("doc_id", "source", "pass_no", F.col("_block").alias("block"), "block_rank")
