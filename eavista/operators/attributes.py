@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from operator import add, or_
 
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eavista.functions.scalars import unsigned_cast
 
 
-# One bit of a bigint each.
-MOST_ATTRIBUTES = 62
+# Attributes that one bigint has a bit for; more take further words.
+WORD = 62
+# Ids of a reference and NULL, which has the least number, are told by numbers below it.
+ID_SPAN = 2**64
 
 
 @dataclass(frozen=True)
@@ -21,7 +24,8 @@ class Attribute:
     """An attribute by name, within one phase or in any, and how to reduce its values.
 
     ``greatest`` is the largest text. ``first`` is the value with the smallest
-    (attribute id, text), NULL text first. ``reference`` is ``first`` cast to an id.
+    (attribute id, text), NULL text first. ``reference`` is the id that a value is cast to,
+    of the smallest (attribute id, id), NULL first.
     """
 
     name: str
@@ -63,26 +67,48 @@ def pivot_attributes(
     """One row per project that has any wanted value, one column per attribute.
 
     The attribute conditions are evaluated on the catalog, which gives each
-    attribute id a mask of the columns it feeds: a value row carries one number
-    through the sort, and values of other attributes are never read from a layout
-    by attribute. Aggregation is partial before the single shuffle by project,
-    which also keeps a project with very many values from landing in one task
-    unreduced.
+    attribute id masks of the columns it feeds: a value row carries a number or a
+    few through the aggregation, and values of other attributes are never read from
+    a layout by attribute. References are numbers in attribute order and reduce by
+    hash; only texts need a sort. Aggregation is partial before the single shuffle by
+    project, which also keeps a project with very many values from landing in one
+    task unreduced.
     """
-    if len(attributes) > MOST_ATTRIBUTES:
-        raise ValueError(f"more than {MOST_ATTRIBUTES} attributes in one pivot")
-    conditions = [spec.matches() for spec in attributes.values()]
-    bits = [F.when(condition, 1 << i).otherwise(0) for i, condition in enumerate(conditions)]
-    catalog = campos.filter(any_of(conditions)).select(
-        F.col("id").alias("campo_id"), reduce(add, bits).cast("bigint").alias("mask")
-    )
-    reduced = [
-        _reduced(spec, F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(column)
-        for i, (column, spec) in enumerate(attributes.items())
-    ]
-    wide = values.join(catalog, "campo_id").groupBy("solicitud_id").agg(*reduced)
-    ids = {c: unsigned_cast(F.col(c)) for c, spec in attributes.items() if spec.reduce == "reference"}
-    return wide.withColumns(ids) if ids else wide
+    specs = list(attributes.values())
+    conditions = [spec.matches() for spec in specs]
+    masks = []
+    for start in range(0, len(specs), WORD):
+        bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions[start : start + WORD])]
+        masks.append(reduce(add, bits).cast("bigint").alias(f"mask_{start // WORD}"))
+    catalog = campos.filter(any_of(conditions)).select(F.col("id").alias("campo_id"), *masks, _place().alias("lugar"))
+    rows = values.join(catalog, "campo_id")
+    refers = [i for i, spec in enumerate(specs) if spec.reduce == "reference"]
+    if refers:
+        rows = rows.withColumn("numero", F.when(any_of([_feeds(i) for i in refers]), _numbered()))
+    reduced = [_reduced(spec, _feeds(i)).alias(column) for i, (column, spec) in enumerate(attributes.items())]
+    wide = rows.groupBy("solicitud_id").agg(*reduced)
+    names = list(attributes)
+    return wide.withColumns({names[i]: _id_of(F.col(names[i])) for i in refers}) if refers else wide
+
+
+def _feeds(column: int) -> Column:
+    """Whether a value row's attribute feeds that column."""
+    return F.col(f"mask_{column // WORD}").bitwiseAND(F.lit(1 << column % WORD)) != 0
+
+
+def _place() -> Column:
+    """Where the numbers of an attribute's references begin: in order of attribute ids, from 0."""
+    return ((F.col("id").cast("decimal(20,0)") + F.lit(2**31)) * F.lit(Decimal(ID_SPAN))).cast("decimal(38,0)")
+
+
+def _numbered() -> Column:
+    """(attribute id, id) as one number in the same order, NULL before every id."""
+    return F.col("lugar") + F.coalesce(unsigned_cast(F.col("valor")).cast("decimal(20,0)") + F.lit(1), F.lit(0))
+
+
+def _id_of(number: Column) -> Column:
+    """The id in a number; NULL where there is none."""
+    return (F.nullif(number % F.lit(Decimal(ID_SPAN)), F.lit(0)) - F.lit(1)).cast("bigint")
 
 
 def count_values(
@@ -102,4 +128,6 @@ def count_values(
 def _reduced(spec: Attribute, wanted: Column) -> Column:
     if spec.reduce == "greatest":
         return F.max(F.when(wanted, F.col("valor")))
+    if spec.reduce == "reference":
+        return F.min(F.when(wanted, F.col("numero")))
     return F.min(F.when(wanted, F.struct("campo_id", "valor"))).getField("valor")

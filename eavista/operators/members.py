@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from eavista.functions.json_text import json_string_members
 from eavista.functions.scalars import canonical_id, unsigned_cast
 from eavista.operators.attributes import attribute_rows, first
+from eavista.operators.chosen import Chosen
 from eavista.operators.references import ROLES
 from eavista.sources.tables import Tables
 
@@ -16,13 +17,15 @@ COPIES_PER_SLICE = 1_000_000
 LIST_ATTRIBUTE = first("beneficiarios_icfes")
 
 
-def member_counts(tables: Tables) -> DataFrame:
+def member_counts(tables: Tables, chosen: Chosen | None = None) -> DataFrame:
     """(project, user id, copias): every member value, equal ones counted together.
 
     Counting before the shuffle keeps a project with many equal values small; the
-    key has both ids, so one with many different members spreads.
+    key has both ids, so one with many different members spreads. Where projects are
+    ``chosen``, rows of others are not counted.
     """
-    rows = attribute_rows(tables.valores_campos, tables.campos, *MEMBERS)
+    values = tables.valores_campos
+    rows = attribute_rows(values if chosen is None else chosen.rows(values, "solicitud_id"), tables.campos, *MEMBERS)
     return (
         rows.select("solicitud_id", unsigned_cast(F.col("valor")).alias("usuario_id"))
         .filter(F.col("usuario_id").isNotNull())

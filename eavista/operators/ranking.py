@@ -2,46 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SAMPLE = 2_000
-BUCKETS = 200
+from eavista.sources.shared import written
+
+
+def in_ranges(frame: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in global order, written: ``tramo`` is the range and ``orden`` rises within it.
+
+    Ranges are as many as the session's shuffle partitions, cut where Spark's own sample
+    of the order says; any cuts give the same positions.
+    """
+    ranges = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranges.withColumns({"tramo": F.spark_partition_id(), "orden": F.monotonically_increasing_id()}))
+
+
+def counted_before(ranges: DataFrame, *group: str) -> DataFrame:
+    """(group, tramo, ``antes``): what to add to ``orden`` for the 1-based position within the group.
+
+    At most one row per group and range.
+    """
+    sizes = ranges.groupBy(*group, "tramo").agg(F.count(F.lit(1)).alias("n"), F.min("orden").alias("primero"))
+    below = Window.partitionBy(*group).orderBy("tramo").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(below), F.lit(0))
+    return sizes.select(*group, "tramo", (before - F.col("primero") + 1).alias("antes"))
 
 
 def with_position(frame: DataFrame, group: str, name: str) -> DataFrame:
-    """Adds ``fila``: the 1-based position of ``name`` within ``group``.
+    """Adds ``fila``: the 1-based position of ``name`` within ``group``, NULL first.
 
-    Names are cut into ranges at points taken from a bounded sample, rows are
-    numbered within a range, and the sizes of the lower ranges are added. Any cut
-    points give the same positions; they only balance the work. ``name`` must be
-    unique within ``group``.
+    Equal names have neighbouring positions in no stated order. A group that holds most
+    rows takes as many ranges as it needs.
     """
-    cuts = _cut_points(frame, name)
-    bucket = F.lit(0)
-    if cuts:
-        points = F.array(*[F.lit(cut) for cut in cuts])
-        bucket = F.coalesce(F.size(F.filter(points, lambda p: p <= F.col(name))), F.lit(0))
-    placed = frame.withColumn("tramo", bucket)
-    sizes = placed.groupBy(group, "tramo").agg(F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy(group).orderBy("tramo").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        group, "tramo", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("antes")
-    )
-    within = Window.partitionBy(group, "tramo").orderBy(F.col(name).asc_nulls_first())
-    # At most one row per group and range: bounded by groups * (BUCKETS + 1).
-    return (
-        placed.withColumn("orden", F.row_number().over(within))
-        .join(F.broadcast(offsets), [group, "tramo"])
-        .withColumn("fila", F.col("antes") + F.col("orden"))
-        .drop("tramo", "orden", "antes")
-    )
-
-
-def _cut_points(frame: DataFrame, name: str) -> list[str]:
-    """Evenly spaced names of a sample chosen by hash; none for a small input."""
-    names = frame.select(name).filter(F.col(name).isNotNull()).distinct()
-    sample = names.orderBy(F.xxhash64(name)).limit(SAMPLE).collect()
-    if len(sample) < SAMPLE:
-        return []
-    ordered = sorted(row[0].encode() for row in sample)
-    return [cut.decode() for cut in ordered[SAMPLE // BUCKETS :: SAMPLE // BUCKETS]]
+    ranges = in_ranges(frame, [F.col(group), F.col(name).asc_nulls_first()])
+    placed = ranges.join(counted_before(ranges, group), [group, "tramo"])
+    return placed.withColumn("fila", F.col("antes") + F.col("orden")).drop("tramo", "orden", "antes")

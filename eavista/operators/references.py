@@ -19,9 +19,10 @@ from eavista.operators.attributes import (
     pivot_attributes,
     reference,
 )
+from eavista.operators.chosen import Chosen, choose
 from eavista.operators.filters import projects_of
 from eavista.operators.skew import spread_join
-from eavista.sources.shared import fits_broadcast
+from eavista.sources.shared import fits_broadcast, written
 from eavista.sources.tables import Tables
 
 # The attribute that names each person's role, and its phase.
@@ -46,33 +47,47 @@ def attach_catalog(projects: DataFrame, ref: str, catalog: DataFrame, name: str)
     return projects.join(entries, F.col(ref) == F.col(f"{name}_ok"), "left")
 
 
-def idea_titles(tables: Tables) -> DataFrame:
-    """Live ideas with any idea-phase value, and their title."""
+def idea_titles(tables: Tables, linked: Chosen | None = None) -> DataFrame:
+    """Live ideas with any idea-phase value, and their title; of the ``linked`` ones alone if given."""
     ideas = projects_of(tables.solicitudes, IDEA_PROJECT_TYPE).select(F.col("id").alias("idea_id"))
     titles = pivot_attributes(
-        tables.valores_campos, tables.campos, {"titulo_idea": greatest("titulo", IDEA_PROJECT_TYPE)}
+        _sifted(tables.valores_campos, linked),
+        tables.campos,
+        {"titulo_idea": greatest("titulo", IDEA_PROJECT_TYPE)},
     ).withColumnRenamed("solicitud_id", "idea_id")
     return ideas.join(titles, "idea_id")
 
 
-def linked_idea_titles(tables: Tables, spread: bool = True) -> DataFrame:
-    """(project, title of its idea) for the projects whose idea is live."""
-    links = pivot_attributes(tables.valores_campos, tables.campos, {"idea_id": IDEA}).filter(
-        F.col("idea_id").isNotNull()
-    )
-    titles = idea_titles(tables)
+def linked_idea_titles(tables: Tables, spread: bool = True, chosen: Chosen | None = None) -> DataFrame:
+    """(project, title of its idea) for the projects whose idea is live.
+
+    Of chosen projects, only the ideas that they link to are read.
+    """
+    values = _sifted(tables.valores_campos, chosen)
+    links = pivot_attributes(values, tables.campos, {"idea_id": IDEA}).filter(F.col("idea_id").isNotNull())
+    linked = None
+    if chosen is not None:
+        links = written(links)
+        linked = choose(links.select(F.col("idea_id").alias("id")).distinct())
+    titles = idea_titles(tables, linked)
     if spread:
-        found = spread_join(links, titles, "idea_id", spread_on="solicitud_id")
+        found = spread_join(links, titles, "idea_id", spread_on="solicitud_id", kept=chosen is not None)
     else:
         found = links.join(titles, "idea_id")
     return found.select("solicitud_id", "titulo_idea")
 
 
-def people_by_project(tables: Tables, roles: Mapping[str, Sequence[str]]) -> DataFrame:
+def _sifted(values: DataFrame, chosen: Chosen | None, key: str = "solicitud_id") -> DataFrame:
+    return values if chosen is None else chosen.rows(values, key)
+
+
+def people_by_project(
+    tables: Tables, roles: Mapping[str, Sequence[str]], chosen: Chosen | None = None
+) -> DataFrame:
     """(project, ``<role>_ok`` user id, ``<role>_<field>``...) through one join for all roles."""
     specs = {role: ROLES[role] for role in roles}
     needed = sorted({field for wanted in roles.values() for field in wanted})
-    picked = pivot_attributes(tables.valores_campos, tables.campos, specs)
+    picked = pivot_attributes(_sifted(tables.valores_campos, chosen), tables.campos, specs)
     named = [F.struct(F.lit(role).alias("rol"), F.col(role).alias("usuario_id")) for role in roles]
     long = (
         picked.select("solicitud_id", F.explode(F.array(*named)).alias("p"))
@@ -117,14 +132,17 @@ def project_frame(
     counts: Mapping[str, int | None] | None = None,
     beside: Sequence[DataFrame] = (),
     broadcast_people: bool | None = None,
+    chosen: Chosen | None = None,
 ) -> DataFrame:
     """``projects`` with their attributes and resolved references, one row per project.
 
     ``counts`` names columns for the number of values of a phase, or of any
     (None). Everything keyed by project (the pivot, the counts, idea titles,
     people beyond the broadcast threshold, and the frames in ``beside``) joins on
-    one partitioning by project id.
+    one partitioning by project id. ``chosen`` are the projects' ids, where they are
+    few: then only rows of these are aggregated and shuffled.
     """
+    values = _sifted(tables.valores_campos, chosen)
     people = people or {}
     specs = dict(attributes or {})
     if levels:
@@ -136,13 +154,13 @@ def project_frame(
         specs |= people_columns(people)
     keyed = list(beside)
     if specs:
-        keyed.append(pivot_attributes(tables.valores_campos, tables.campos, specs))
+        keyed.append(pivot_attributes(values, tables.campos, specs))
     for column, phase in (counts or {}).items():
-        keyed.append(count_values(tables.valores_campos, tables.campos, column, phase))
+        keyed.append(count_values(values, tables.campos, column, phase))
     if people and not small:
-        keyed.append(people_by_project(tables, people))
+        keyed.append(people_by_project(tables, people, chosen))
     if idea_title:
-        keyed.append(linked_idea_titles(tables))
+        keyed.append(linked_idea_titles(tables, chosen=chosen))
     for frame in keyed:
         projects = projects.join(frame.withColumnRenamed("solicitud_id", "id"), "id", "left")
     if levels:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from eavista.functions.json_text import json_length
 from eavista.functions.scalars import preferred_text, zero_if_null
 from eavista.operators.attributes import greatest
+from eavista.operators.chosen import choose
 from eavista.operators.filters import optional_filters, projects_of
 from eavista.operators.milestones import first_milestones, with_deadlines
 from eavista.operators.references import project_frame
@@ -75,10 +76,15 @@ def general_report(
     fecha_fin: str | None = None,
     broadcast_people: bool | None = None,
 ) -> DataFrame:
-    """All columns, newest project first; equal dates by id, so a hot date still splits."""
-    projects = optional_filters(
-        projects_of(tables.solicitudes, FORMAL), estado, fecha_inicio, fecha_fin
-    ).select("id", "created_at")
+    """All columns, newest project first; equal dates by id, so a hot date still splits.
+
+    A filter works on everything keyed by project: values, milestones, links and the
+    titles of linked ideas are those of the chosen projects before they are aggregated.
+    """
+    filters = (estado, fecha_inicio, fecha_fin)
+    projects = optional_filters(projects_of(tables.solicitudes, FORMAL), *filters).select("id", "created_at")
+    chosen = choose(projects) if any(filters) else None
+    actas = tables.actas if chosen is None else chosen.rows(tables.actas, "proyecto_id")
     frame = with_deadlines(
         project_frame(
             tables,
@@ -88,8 +94,9 @@ def general_report(
             modalities=True,
             people=PEOPLE,
             idea_title=True,
-            beside=[first_milestones(tables.actas)],
+            beside=[first_milestones(actas)],
             broadcast_people=broadcast_people,
+            chosen=chosen,
         )
     )
     absent = F.lit(None).cast("string")

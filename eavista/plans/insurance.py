@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from eavista.operators.chosen import choose
 from eavista.operators.filters import projects_of
 from eavista.operators.members import member_counts, repeat_copies
 from eavista.operators.references import project_frame
@@ -24,11 +25,16 @@ CAMPUS = "PRINCIPAL"
 
 
 def insurance_report(tables: Tables, spread: bool = True) -> DataFrame:
-    """Members by name; ties by document and project, so a hot name still splits."""
-    projects = project_frame(
-        tables, projects_of(tables.solicitudes, APPROVED).select("id"), levels=True
-    ).select(F.col("id").alias("solicitud_id"), "nivel")
-    members = member_counts(tables)
+    """Members by name; ties by document and project, so a hot name still splits.
+
+    Approved projects are few of all: only their values are read into the aggregations.
+    """
+    approved = projects_of(tables.solicitudes, APPROVED).select("id")
+    chosen = choose(approved)
+    projects = project_frame(tables, approved, levels=True, chosen=chosen).select(
+        F.col("id").alias("solicitud_id"), "nivel"
+    )
+    members = member_counts(tables, chosen)
     if spread:
         rows = spread_join(members, projects, "solicitud_id", spread_on="usuario_id")
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,19 @@ def materialized(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """``frame`` computed once into the shared folder and read from there, where Spark knows its size."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which Spark broadcasts a table by itself."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def estimated_bytes(frame: DataFrame) -> int:
     """Spark's own size estimate for ``frame``."""
     return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -36,5 +50,4 @@ def estimated_bytes(frame: DataFrame) -> int:
 
 def fits_broadcast(frame: DataFrame) -> bool:
     """Whether Spark would broadcast ``frame`` under the session's threshold."""
-    settings = frame.sparkSession._jsparkSession.sessionState().conf()
-    return estimated_bytes(frame) <= settings.autoBroadcastJoinThreshold()
+    return estimated_bytes(frame) <= broadcast_limit(frame.sparkSession)

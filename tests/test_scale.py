@@ -3,14 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from eavista.operators import ranking, skew
+from eavista.operators import chosen, ranking, skew
+from eavista.operators.attributes import greatest, pivot_attributes, reference
 from eavista.operators.references import (
     ROLES,
     linked_idea_titles,
     people_by_project,
     project_frame,
 )
-from eavista.operators.skew import hot_keys, spread_join
+from eavista.operators.skew import spread_join, with_hot_keys
 from eavista.plans import general, insurance, modality, professors, statistics
 from eavista.plans.beneficiaries import beneficiary_report
 from eavista.sources.tables import read_files, write_files
@@ -32,10 +33,29 @@ def test_spread_join_equals_join(spark):
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id"
     )
     one = spark.range(5, 60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    hot = hot_keys(many, "k", 100)
-    assert [tuple(r) for r in hot.collect()] == [(7, 11)]
-    spread = spread_join(many, one, "k", spread_on="id", rows_per_slice=100)
-    assert same_rows(many.join(one, "k"), spread)
+    for kept in (False, True):
+        _, hot = with_hot_keys(many, "k", 100, kept)
+        assert list(hot.values()) == [11] and list(hot) == [spark.range(7, 8).select(F.xxhash64("id")).first()[0]]
+        spread = spread_join(many, one, "k", spread_on="id", rows_per_slice=100, kept=kept)
+        assert same_rows(many.join(one, "k"), spread)
+    nobody = many.filter("id < 0")
+    assert spread_join(nobody, one, "k", spread_on="id").isEmpty()
+
+
+def test_rows_are_computed_once_for_keys_and_join(spark):
+    """The hot keys come from the job that writes the rows; the join reads what was written."""
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            computed.add(len(batch))
+            yield batch
+
+    many = spark.range(1000).select((F.col("id") % 2).alias("k"), "id").mapInArrow(seen, "k long, id long")
+    one = spark.range(2).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    joined = spread_join(many, one, "k", spread_on="id", rows_per_slice=100)
+    assert joined.count() == 1000 and computed.value == 1000
+    assert "MapInArrow" not in plan_of(joined) and "tramo" in plan_of(joined)
 
 
 def test_a_hot_key_reaches_many_tasks(spark, settings):
@@ -59,10 +79,10 @@ def test_counted_rows_decide_at_any_size(spark, monkeypatch):
     projects = [project(i) for i in range(1, 301)] + [project(900, 1)]
     values = [(i, 301, "900") for i in range(1, 301)] + [(900, 101, "Idea")]
     t = tiny_tables(spark, solicitudes=projects, valores_campos=values)
-    assert "slice" not in plan_of(linked_idea_titles(t))
+    assert "tramo" not in plan_of(linked_idea_titles(t))
     monkeypatch.setattr(skew, "ROWS_PER_SLICE", 100)
     found = linked_idea_titles(t)
-    assert "slice" in plan_of(found)
+    assert "tramo" in plan_of(found)
     assert sorted(tuple(r) for r in found.collect()) == [(i, "Idea") for i in range(1, 301)]
 
 
@@ -90,20 +110,83 @@ def test_people_use_one_join_for_all_roles(spark, tables):
     assert many.count("customer.parquet") == 1
 
 
-@pytest.mark.parametrize("sample, buckets", [(2000, 200), (40, 8)])
-def test_positions_without_one_sorted_task(spark, monkeypatch, sample, buckets):
-    monkeypatch.setattr(ranking, "SAMPLE", sample)
-    monkeypatch.setattr(ranking, "BUCKETS", buckets)
+def test_references_reduce_by_hash(tables):
+    for wanted in ({"levels": True}, {"modalities": True}, {"people": {"director": ("name",)}}):
+        plan = plan_of(project_frame(tables, tables.solicitudes.select("id"), **wanted))
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("wanted", [1, 62, 63, 200])
+def test_any_number_of_attributes(spark, wanted):
+    campos = [(i, 2, f"a{i}") for i in range(250)]
+    values = [(p, i, str(1000 * p + i)) for p in (1, 2) for i in range(250) if (i + p) % 7]
+    t = tiny_tables(spark, campos=campos, valores_campos=values)
+    specs = {f"c{i}": (reference if i % 2 else greatest)(f"a{i}") for i in range(wanted)}
+    found = {r.solicitud_id: r for r in pivot_attributes(t.valores_campos, t.campos, specs).collect()}
+    for p in (1, 2):
+        for i in range(wanted):
+            number = 1000 * p + i if (i + p) % 7 else None
+            assert found[p][f"c{i}"] == (number if i % 2 else number and str(number)) if p in found else number is None
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_chosen_rows_are_held_back(spark, limit):
+    """By ids, or by a bitmap that lets few others through."""
+    ids = spark.range(0, 30000, 3)
+    picked = chosen.choose(ids, limit)
+    assert picked.count == 10000 and bool(picked.bits) == (limit == 0)
+    rows = spark.range(60000).select(F.col("id").alias("k"), F.lit("t").alias("mapa_"), "id")
+    kept = picked.rows(rows, "k")
+    found = {r.k for r in kept.collect()}
+    assert kept.columns == rows.columns and set(range(0, 30000, 3)) <= found
+    assert len(found) == 10000 if limit else len(found) < 10000 + 50000 * 0.08
+    assert picked.rows(rows.filter("id < 0"), "k").isEmpty()
+    assert chosen.choose(ids.filter("id < 0"), limit).rows(rows, "k").isEmpty()
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_filtered_report_reads_the_chosen_projects_values(spark, stored, monkeypatch, limit):
+    """Values, milestones, links and titles of others do not reach the aggregations."""
+    choose, sifted = chosen.choose, []
+
+    def watched(ids, _=None):
+        found = choose(ids, limit)
+        rows = found.rows
+        object.__setattr__(found, "rows", lambda frame, key: sifted.append((rows(frame, key), frame)) or sifted[-1][0])
+        return found
+
+    monkeypatch.setattr(general, "choose", watched)
+    monkeypatch.setattr("eavista.operators.references.choose", watched)
+    filters = {"estado": "Fase 4", "fecha_inicio": "1996-03-01"}
+    report = general.general_report(stored, **filters)
+    everything = general.general_report(stored)
+    ids = {r.id for r in report.select("id").collect()}
+    assert 0 < len(ids) < everything.count() / 4
+    assert same_rows(report, everything.filter(F.col("id").isin(list(ids))))
+    assert len(sifted) == 4
+    for rows, frame in sifted:
+        assert rows.count() < frame.count() * (0.2 if limit is None else 0.3)
+    if limit is None:
+        plan = plan_of(report)
+        assert plan.count("LeftSemi") >= 3 and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("partitions", ["2", "7"])
+def test_positions_without_one_sorted_task(spark, settings, partitions):
+    settings({"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.coalescePartitions.enabled": "false"})
     names = spark.range(300).select(
         F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"),
         F.when(F.col("id") > 1, F.sha1(F.col("id").cast("string"))).alias("n"),
     ).distinct()
+    # a name that many rows share, in a group that holds most of them
+    names = names.union(spark.range(200).select(F.lit("b"), F.lit("7777")))
     placed = ranking.with_position(names, "g", "n").collect()
     for group in "ab":
         mine = sorted((r for r in placed if r.g == group), key=lambda r: r.fila)
         ordered = sorted((r.n for r in mine), key=lambda n: (n is not None, n))
         assert [r.n for r in mine] == ordered
         assert [r.fila for r in mine] == list(range(1, len(mine) + 1))
+    assert ranking.with_position(names.filter("g = 'c'"), "g", "n").isEmpty()
 
 
 REPORTS = {

@@ -87,9 +87,12 @@ CTES: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY solicitud_id, name, fase
             ORDER BY campo_id, valor NULLS FIRST) AS rn FROM eav) WHERE rn = 1""",
     "refs": """
-        SELECT solicitud_id, name, fase, CASE WHEN valor IS NULL THEN NULL ELSE
-          coalesce(try_cast(nullif(regexp_extract(valor, '^[ \\t]*[+]?([0-9]+)', 1), '') AS BIGINT), 0)
-          END AS ref FROM picked""",
+        SELECT solicitud_id, name, fase, ref FROM (
+          SELECT *, row_number() OVER (PARTITION BY solicitud_id, name, fase
+            ORDER BY campo_id, ref NULLS FIRST) AS rn
+          FROM (SELECT *, CASE WHEN valor IS NULL THEN NULL ELSE
+            coalesce(try_cast(nullif(regexp_extract(valor, '^[ \\t]*[+]?([0-9]+)', 1), '') AS BIGINT), 0)
+            END AS ref FROM eav)) WHERE rn = 1""",
     "ref_nivel": "SELECT solicitud_id, ref FROM refs WHERE name = 'nivel' AND fase = 2",
     "ref_modalidad": "SELECT solicitud_id, ref FROM refs WHERE name = 'modalidad' AND fase = 2",
     "ref_director": "SELECT solicitud_id, ref FROM refs WHERE name = 'director_id' AND fase = 3",
