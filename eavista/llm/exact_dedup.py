@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eavista.llm.marked import bitmap, without
-from eavista.llm.shared import blobs, free_names, partitions, stored
+from eavista.llm.shared import blobs, free_names, lean, partitions, stored
 
 # Rows that a task sorts at a time; more become further sources with codes of their own.
 SOURCE_ROWS = 1_000_000
@@ -154,13 +154,13 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     prints = texts.select(
         "doc_id", F.xxhash64("text").alias("h"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest")
     )
-    packed = stored(prints.mapInArrow(_packed(owners), PACKED), "fingerprints")
+    packed = stored(prints.mapInArrow(lean(_packed(owners)), PACKED), "fingerprints")
     answers = (
         packed.select("source", "owner", "n", "code")
         .groupBy("owner").applyInArrow(_answers(owners), "source long, owner int, shared binary")
     )
     rows = packed.drop("n", "code").join(answers, ["source", "owner"])
-    rows = stored(rows.mapInArrow(_rows, "doc_id long, h long, digest binary, suspect boolean"), "marked")
+    rows = stored(rows.mapInArrow(lean(_rows), "doc_id long, h long, digest binary, suspect boolean"), "marked")
 
     maybe = bitmap(rows.filter("suspect"), "h")
     same = texts.filter(maybe(F.xxhash64("text")))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from eavista.llm.components import components
 from eavista.llm.marked import bitmap, without
-from eavista.llm.shared import longs, mixed, random_words, slices, stored, utf8
+from eavista.llm.shared import lean, lean_group, longs, mixed, random_words, slices, stored, utf8
 from eavista.llm.tokens import LOWER, inverse_powers, prefix_hashes, stretch_hashes
 
 SAMPLES = 128
@@ -275,7 +275,7 @@ def _confirm(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     held = stored(held, "held")
     need = held.union(held.select("hub", "part", F.col("hub").alias("doc")).distinct())
     rows = need.join(texts, "doc")
-    return rows.groupBy("hub", "part").applyInArrow(_confirmed(words, percent), "a long, b long")
+    return rows.groupBy("hub", "part").applyInArrow(lean_group(_confirmed(words, percent)), "a long, b long")
 
 
 def _tiles(met: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = stored(
         texts.mapInArrow(
-            _sketched(words, bands(threshold)),
+            lean(_sketched(words, bands(threshold))),
             "doc_id long, n long, one long, two long, keys array<long>, sketch binary",
         ),
         "sketches",
@@ -358,9 +358,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     hubs = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sketch")).alias("first")).filter("n > 1")
     met = keyed.join(hubs.select("key", "first"), "key").filter(F.col("first.doc") != F.col("doc"))
     met = met.select("key", F.col("first.doc").alias("hub"), "doc", "sketch", F.col("first.sketch").alias("other"))
-    met = stored(met.mapInArrow(_near(limit), "key long, hub long, doc long, sketch binary, apart long, near boolean"), "met")
+    met = stored(met.mapInArrow(lean(_near(limit)), "key long, hub long, doc long, sketch binary, apart long, near boolean"), "met")
     near = met.filter("near").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    possible = stored(near.union(_tiles(met).mapInArrow(_possible(limit), "a long, b long")).distinct(), "possible")
+    possible = stored(near.union(_tiles(met).mapInArrow(lean(_possible(limit)), "a long, b long")).distinct(), "possible")
 
     clusters = components(possible)
     found = clusters.join(firsts.select(F.col("doc").alias("vertex"), "n", "sketch"), "vertex")
@@ -371,7 +371,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Texts of documents that may be compared; the others stay where they are.
     maybe = bitmap(found.select(F.xxhash64("doc").alias("h")), "h")
     some = texts.filter(maybe(F.xxhash64("doc_id"))).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc")
-    joined = _joined(limit, words, percent)
+    joined = lean_group(_joined(limit, words, percent))
     whole = found.join(large, "cluster", "left_anti").select("cluster", "doc", F.col("doc").alias("component"), "sketch")
     links = whole.join(some, "doc").groupBy("cluster").applyInArrow(joined, "a long, b long")
     links = stored(links, "links")

@@ -104,7 +104,7 @@ def rebuilt(conversations: DataFrame, family: int = 100, most: int = 6) -> tuple
 def _attached(many: DataFrame, one: DataFrame, key: str, spread_on: str) -> DataFrame:
     """``many`` with the columns of its row of ``one``, null where there is none; hot keys in slices."""
     keys = many.select(key).distinct()
-    return spread_join(many, keys.join(one, key, "left"), key, spread_on)
+    return spread_join(many, keys.join(one, key, "left"), key, spread_on, kept=True)
 
 
 def _running(blocks: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def _refined(turns: DataFrame, blocks: DataFrame) -> DataFrame:
     groups = blocks.groupBy("top").agg(
         F.min(after).alias("lo"), F.max(after).alias("hi"), F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("least")
     )
-    known = spread_join(blocks.select("conv_id", "k", "top"), groups, "top", spread_on="conv_id")
+    known = spread_join(blocks.select("conv_id", "k", "top"), groups, "top", spread_on="conv_id", kept=True)
     diverge = F.col("lo") != F.col("hi")
     asked = known.filter(diverge | (F.col("conv_id") == F.col("least"))).select(
         "conv_id", "k", "top", F.when(diverge, 1).otherwise(F.col("n")).cast("long").alias("weight")
@@ -263,7 +263,7 @@ def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     inner = valued.select(*NODE, "conv_id", "n_convs", "n_children", "parent").join(sums, NODE)
     parents = valued.select(F.struct(*NODE).alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     parents = parents.unionByName(root.select(F.struct(*NODE).alias("parent"), F.col("conv_id").alias("parent_conv_id")))
-    inner = spread_join(stored(inner, "sums"), parents, "parent", spread_on="conv_id").drop("parent")
+    inner = spread_join(stored(inner, "sums"), parents, "parent", spread_on="conv_id", kept=True).drop("parent")
     every = inner.unionByName(top.withColumn("parent_conv_id", F.lit(None).cast("long")))
 
     last = blocks.select(

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eavista.llm.shared import held_out
+from eavista.llm.shared import give_back, held_out, lean
 
 LENGTH = 4
 GAP = 1
@@ -338,7 +338,7 @@ def scored(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = Non
     """A row per document: ``doc_id, held_out, score, predicted``."""
     model = model or train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("_key"), F.col("text").alias("_text"))
-    found = rows.mapInArrow(_scored(model), "_key long, _score double").select(
+    found = rows.mapInArrow(lean(_scored(model)), "_key long, _score double").select(
         F.col("_key").alias("doc_id"), F.col("_score").alias("score")
     )
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -349,6 +349,8 @@ def accepted(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = N
     model = model or train(docs, labels)
 
     def clean(text: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(text.fillna("").tolist()) < 0.5, dtype=bool)
+        clean = pd.Series(model.scores(text.fillna("").tolist()) < 0.5, dtype=bool)
+        give_back(every=2.0)
+        return clean
 
     return docs.filter(F.pandas_udf(clean, "boolean")("text"))
