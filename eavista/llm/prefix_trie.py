@@ -38,7 +38,10 @@ WIDTH = 4
 SPAN = 1024
 
 NODE = ["depth", "a", "b"]
-ROOT = {"depth": F.lit(0).cast("long"), "a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")}
+
+
+def _at_root() -> dict[str, Column]:
+    return {name: F.lit(0).cast("long") for name in NODE}
 
 
 def ordered(conversations: DataFrame) -> DataFrame:
@@ -238,7 +241,7 @@ def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     children = nodes.groupBy(*[F.col(f"parent.{c}").alias(c) for c in NODE]).agg(F.count(F.lit(1)).alias("n_children"))
     children = stored(children, "children")
     whole = ids.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).filter("n_convs > 0")
-    root = whole.withColumns(ROOT)
+    root = whole.withColumns(_at_root())
     valued = nodes.join(children, NODE, "left").withColumns({
         "n_children": _none(F.col("n_children")),
         "leaves": F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long"),
@@ -272,7 +275,7 @@ def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     )
     done = ids.filter("n_turns > 0").select("conv_id", F.floor((F.col("n_turns") - 1) / WIDTH).alias("k"))
     ends = done.join(last, ["conv_id", "k"]).select(*NODE, "conv_id")
-    ends = ends.unionByName(ids.filter("n_turns = 0").select("conv_id").withColumns(ROOT).select(*NODE, "conv_id"))
+    ends = ends.unionByName(ids.filter("n_turns = 0").select("conv_id").withColumns(_at_root()).select(*NODE, "conv_id"))
     # SHA-256 runs through a node's ids in order, so they pass through one task as a stream.
     ends = ends.repartition(*NODE).sortWithinPartitions(*NODE, "conv_id")
     ends = ends.mapInArrow(_hashed, "depth long, a long, b long, ends_sha256 string")
