@@ -111,8 +111,8 @@ def lean(task: Callable) -> Callable:
 def lean_group(task: Callable) -> Callable:
     """A function over one group that gives memory back now and then."""
 
-    def run(*group):
-        out = task(*group)
+    def run(group: pa.Table) -> pa.Table:
+        out = task(group)
         give_back(every=1.0)
         return out
 
