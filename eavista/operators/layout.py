@@ -12,14 +12,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def labelled(frame: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
-    """The listed (label, key) columns in order, labels as column metadata.
+def labelled(frame: DataFrame, columns: Sequence[tuple[str, ...]]) -> DataFrame:
+    """The listed (label, key) or (label, key, group) columns in order, labels as column metadata.
 
     A key the frame lacks becomes NULL text; moments with a time become text;
-    columns not listed drop. Labels may repeat, keys name the columns.
+    columns not listed drop. Labels may repeat, keys name the columns. A group is the
+    header above several columns.
     """
     return frame.select(*[
-        _cell(frame, key).alias(key, metadata={"label": label}) for label, key in columns
+        _cell(frame, key).alias(key, metadata={"label": label, **({"group": group[0]} if group else {})})
+        for label, key, *group in columns
     ])
 
 

@@ -12,17 +12,23 @@ from eavista.operators.layout import labelled
 from eavista.operators.matrix import (
     TOTAL,
     TOTAL_LABEL,
-    column_values,
+    WIDTH,
+    block_matrix,
+    block_side_by_side,
+    block_total,
     long_matrix,
     long_side_by_side,
-    long_total,
     matrix_total,
     period_matrix,
+    place_columns,
+    placed_periods,
+    rows_of,
     side_by_side,
+    totals_of,
 )
 from eavista.operators.references import project_frame
 from eavista.plans.general import FORMAL
-from eavista.sources.shared import materialized
+from eavista.sources.shared import materialized, written
 from eavista.sources.tables import Tables
 
 SECTIONS = ("director", "evaluador")
@@ -34,6 +40,7 @@ SECTION_TITLES = {
     "directores": "ASIGNACIÓN DE DIRECCIÓN DE TRABAJO DE GRADO",
     "evaluadores": "ASIGNACIÓN DE EVALUADOR DE TRABAJO DE GRADO",
 }
+GROUP = "APROBACIÓN PROPUESTA F-DC-125 - F-DC-128"
 
 
 def period_list(tables: Tables) -> DataFrame:
@@ -92,11 +99,6 @@ def long_section(cells: DataFrame, section: str) -> DataFrame:
     )
 
 
-def periods_of(tables: Tables) -> list[str]:
-    """The listed periods on the driver, for a caller that wants them as columns."""
-    return column_values(period_list(tables))
-
-
 def section_matrix(cells: DataFrame, section: str, periods: Sequence[str]) -> DataFrame:
     return period_matrix(cells.filter(F.col("rol") == section), ["nombre"], periods)
 
@@ -111,34 +113,68 @@ def zipped(cells: DataFrame, periods: Sequence[str]) -> DataFrame:
     return side_by_side(matrix, "rol", "nombre", SECTIONS, periods).orderBy("fila")
 
 
-def long_columns(section: str) -> list[tuple[str, str]]:
-    return [(section.upper(), "nombre"), ("Es total", "es_total"), ("Periodo", "periodo"), ("Total", "n")]
+def every_cell(tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The long matrix of both roles with all totals, and the listed periods; both computed once."""
+    periods = written(period_list(tables))
+    cells = written(workload(tables))
+    return written(long_matrix(cells, "rol", "nombre", SECTIONS, periods)), periods
 
 
-def professor_report(tables: Tables, periodos: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """Matrices in long form; wide, with a column per period, for the ``periodos`` passed."""
-    cells = materialized(workload(tables))
+def long_columns(section: str) -> list[tuple[str, str, str]]:
+    shown = [(section.upper(), "nombre"), ("Es total", "es_total"), ("Periodo", "periodo"), ("Total", "n")]
+    return [(*column, GROUP) for column in shown]
+
+
+def block_columns(section: str, width: int) -> list[tuple[str, str, str]]:
+    """Labels of the block form; which period a place has is told by the section of the periods."""
+    places = [(f"Lugar {i}", c) for i, c in enumerate(place_columns(width), 1)]
+    shown = [(section.upper(), "nombre"), ("Bloque", "bloque"), *places, (TOTAL_LABEL, TOTAL)]
+    return [(*column, GROUP) for column in shown]
+
+
+def professor_report(
+    tables: Tables, periodos: Sequence[str] | None = None, ancho: int | None = None
+) -> dict[str, DataFrame]:
+    """Matrices in long form; in blocks of ``ancho`` periods; or with a column per listed period of ``periodos``."""
     if periodos is not None:
-        return wide_report(tables, cells, periodos)
-    periods = materialized(period_list(tables))
-    matrix = materialized(long_matrix(cells, ["rol", "nombre"], periods))
+        return wide_report(tables, periodos)
+    matrix, periods = every_cell(tables)
+    if ancho is not None:
+        return block_report(matrix, periods, ancho)
     out = {"periodos": periods.orderBy("periodo")}
     for section, name in zip(SECTIONS, ("directores", "evaluadores")):
         mine = matrix.filter(F.col("rol") == section).drop("rol")
-        out[name] = labelled(mine.orderBy("nombre", "es_total", "periodo"), long_columns(section))
-        total = long_total(mine, "nombre", periods).orderBy("es_total", "periodo")
-        out[f"{name}_total"] = labelled(total, long_columns(section))
+        out[name] = labelled(rows_of(mine, "nombre").orderBy("nombre", "es_total", "periodo"), long_columns(section))
+        out[f"{name}_total"] = labelled(
+            totals_of(mine, "nombre").orderBy("es_total", "periodo"), long_columns(section)
+        )
     zipped_rows = long_side_by_side(matrix, "rol", "nombre", SECTIONS)
     out["lado_a_lado"] = zipped_rows.orderBy("fila", "es_total", "periodo")
     return out
 
 
-def wide_report(tables: Tables, cells: DataFrame, periods: Sequence[str]) -> dict[str, DataFrame]:
+def block_report(matrix: DataFrame, periods: DataFrame, width: int = WIDTH) -> dict[str, DataFrame]:
+    """The report in rows of ``width`` periods; ``periodos`` tells the block and place of each."""
+    placed = written(placed_periods(periods, width))
+    out = {"periodos": placed.orderBy("bloque", "lugar")}
+    for section, name in zip(SECTIONS, ("directores", "evaluadores")):
+        mine = matrix.filter(F.col("rol") == section).drop("rol")
+        columns = block_columns(section, width)
+        out[name] = labelled(block_matrix(mine, "nombre", placed, width).orderBy("nombre", "bloque"), columns)
+        out[f"{name}_total"] = labelled(block_total(mine, "nombre", placed, width).orderBy("bloque"), columns)
+    zipped_rows = block_side_by_side(matrix, "rol", "nombre", SECTIONS, placed, width)
+    out["lado_a_lado"] = zipped_rows.orderBy("fila", "bloque")
+    return out
+
+
+def wide_report(tables: Tables, periods: Sequence[str]) -> dict[str, DataFrame]:
+    """A column per listed period, by position; its label is the period."""
+    cells = materialized(workload(tables))
     out = {"periodos": period_list(tables)}
     for section, name in zip(SECTIONS, ("directores", "evaluadores")):
-        columns = [(section.upper(), "nombre"), *[(p, p) for p in periods], (TOTAL_LABEL, TOTAL)]
-        matrix = section_matrix(cells, section, periods).orderBy("nombre")
-        out[name] = labelled(matrix, columns)
+        places = zip(periods, place_columns(len(periods)))
+        columns = [(*c, GROUP) for c in [(section.upper(), "nombre"), *places, (TOTAL_LABEL, TOTAL)]]
+        out[name] = labelled(section_matrix(cells, section, periods).orderBy("nombre"), columns)
         out[f"{name}_total"] = labelled(section_total(cells, section, periods), columns)
     out["lado_a_lado"] = zipped(cells, periods)
     return out

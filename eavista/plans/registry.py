@@ -63,14 +63,14 @@ REPORTS: dict[str, Report] = {
         statistics.TITLE, _statistics, section_titles=statistics.SECTION_TITLES
     ),
     "dinamica_profesores_report": Report(
-        professors.TITLE, professors.professor_report, ("periodos",), section_titles=professors.SECTION_TITLES
+        professors.TITLE, professors.professor_report, ("periodos", "ancho"), section_titles=professors.SECTION_TITLES
     ),
     "dinamica_modalidad_report": Report(modality.TITLE, _modality),
 }
 
 
 def run_report(
-    spark: SparkSession, name: str, tables: Tables, **filters: str | Sequence[str] | None
+    spark: SparkSession, name: str, tables: Tables, **filters: str | int | Sequence[str] | None
 ) -> dict[str, DataFrame]:
     """The sections of a report as DataFrames; unknown names raise ``KeyError``.
 
@@ -87,7 +87,7 @@ def export_report(
     base: str,
     run_id: str,
     file_format: str = "parquet",
-    **filters: str | Sequence[str] | None,
+    **filters: str | int | Sequence[str] | None,
 ) -> dict[str, str]:
     """Run a report and write its sections under ``base``; returns the paths."""
     sections = run_report(spark, name, tables, **filters)

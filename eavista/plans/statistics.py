@@ -27,7 +27,7 @@ APPROVED = ["Fase 4", "Fase 5", "Finalizado"]
 REJECTED = "Rechazada"
 TECHNOLOGY, ENGINEERING = 1, 2
 
-# Titles and (label, key) columns.
+# Titles and (label, key) columns, with the header above them where there is one.
 TITLE = "Estadísticas a presentar en comité curricular"
 SECTION_TITLES = {
     "por_semestre": "Resumen por semestre",
@@ -40,6 +40,7 @@ SECTION_LABELS = {
         ("Proyectos recibidos", "proyectos_recibidos"),
         ("Proyectos Vigentes", "proyectos_vigentes"),
         ("No. Estudiantes Proyectos Vigentes", "estudiantes_vigentes"),
+        ("Es total", "es_total"),
     ],
     "aprobacion": [
         ("Semestre", "periodo"),
@@ -49,10 +50,11 @@ SECTION_LABELS = {
     ],
     "por_modalidad": [
         ("Modalidad", "modalidad"),
-        ("Cantidad Proyectos", "proyectos_tecnologico"),
-        ("No. Estudiantes", "estudiantes_tecnologico"),
-        ("Cantidad Proyectos", "proyectos_profesional"),
-        ("No. Estudiantes", "estudiantes_profesional"),
+        ("Cantidad Proyectos", "proyectos_tecnologico", "Tecnología en Desarrollo de Sistemas Informáticos"),
+        ("No. Estudiantes", "estudiantes_tecnologico", "Tecnología en Desarrollo de Sistemas Informáticos"),
+        ("Cantidad Proyectos", "proyectos_profesional", "Ingeniería de Sistemas"),
+        ("No. Estudiantes", "estudiantes_profesional", "Ingeniería de Sistemas"),
+        ("Es total", "es_total"),
     ],
 }
 

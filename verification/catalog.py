@@ -17,8 +17,9 @@ from eavista.operators.milestones import KINDS, first_milestones, with_deadlines
 from eavista.operators.references import ROLES, project_frame
 from eavista.plans import general, insurance, modality, professors, statistics
 from eavista.plans.beneficiaries import beneficiary_report
-from eavista.sources.shared import materialized, shared_folder
-from eavista.sources.sink import read_section, write_report
+from eavista.plans.registry import export_report, run_report
+from eavista.sources.shared import shared_folder
+from eavista.sources.sink import POSITION, read_report
 from eavista.sources.tables import Tables
 
 Query = Callable[[Tables], DataFrame]
@@ -170,20 +171,9 @@ def workload_of(name: str) -> Query:
     return lambda t: professors.long_section(professors.workload(t, (name,)), name)
 
 
-def matrix_of(name: str) -> Query:
-    return lambda t: professors.section_matrix(
-        professors.workload(t, (name,)), name, professors.periods_of(t)
-    ).orderBy("nombre")
-
-
-def matrix_total_of(name: str) -> Query:
-    return lambda t: professors.section_total(
-        professors.workload(t, (name,)), name, professors.periods_of(t)
-    )
-
-
-def professors_zip(t: Tables) -> DataFrame:
-    return professors.zipped(professors.workload(t), professors.periods_of(t))
+def professor_section(section: str, **form) -> Query:
+    """A section of the professor report as the registry gives it."""
+    return lambda t: run_report(t.actas.sparkSession, "dinamica_profesores_report", t, **form)[section]
 
 
 def modality_nested(t: Tables) -> DataFrame:
@@ -196,28 +186,26 @@ def widths(t: Tables) -> DataFrame:
 
 
 def sink_roundtrip(t: Tables) -> DataFrame:
-    """Write the three statistics sections, read them back, show key and first number."""
-    cells = materialized(statistics.committee_cells(t))
-    sections = {
-        "por_semestre": statistics.by_semester(cells),
-        "aprobacion": statistics.by_approval(cells),
-        "por_modalidad": statistics.by_modality(cells),
-    }
-    spark = cells.sparkSession
-    paths = write_report(
-        sections, f"{shared_folder(spark)}/reports", "estadisticas_report",
-        uuid.uuid4().hex, statistics.TITLE,
-    )
+    """Write a report of three sections, read the complete run back, and show every cell with its place."""
+    spark = t.actas.sparkSession
+    base, run = f"{shared_folder(spark)}/reports", uuid.uuid4().hex
+    export_report(spark, "estadisticas_report", t, base, run)
     out = None
-    for name, frame in sections.items():
-        key, number = frame.columns[:2]
-        part = read_section(spark, paths[name], frame).select(
-            F.lit(name).alias("seccion"), F.col(key).alias("clave"), F.col(number).alias("proyectos")
-        )
+    for name, frame in read_report(spark, base, "estadisticas_report", run, position=True).items():
+        cells = frame.drop("escrito").withColumnsRenamed({"seccion": "de", POSITION: "fila"})
+        values = [F.col(c).cast("string").alias(c) for c in cells.columns if c != "fila"]
+        part = cells.select("fila", *values).unpivot("fila", cells.columns[1:], "columna", "valor")
+        part = part.select(F.lit(name).alias("seccion"), *part.columns)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def labelled_moments(t: Tables) -> DataFrame:
+    """A moment as text, a key that no column has, and labels that repeat."""
+    columns = [("Proyecto", "id"), ("Fecha", "created_at"), ("Fecha", "deleted_at"), ("Enlace", "no_hay"), ("Estado", "estado")]
+    return labelled(t.solicitudes, columns)
+
+
 QUERIES: dict[str, Query] = {
     "active_projects": active_projects,
     "eav_named": eav_named,
@@ -250,14 +238,21 @@ QUERIES: dict[str, Query] = {
     "period_list": professors.period_list,
     "directores_long": workload_of("director"),
     "evaluadores_long": workload_of("evaluador"),
-    "directores_matrix": matrix_of("director"),
-    "evaluadores_matrix": matrix_of("evaluador"),
-    "directores_matrix_total": matrix_total_of("director"),
-    "evaluadores_matrix_total": matrix_total_of("evaluador"),
-    "profesores_zip": professors_zip,
+    "directores_matrix": professor_section("directores", ancho=8),
+    "evaluadores_matrix": professor_section("evaluadores", ancho=8),
+    "directores_matrix_total": professor_section("directores_total", ancho=8),
+    "evaluadores_matrix_total": professor_section("evaluadores_total", ancho=8),
+    "profesores_zip": professor_section("lado_a_lado", ancho=8),
+    "periodos_bloques": professor_section("periodos", ancho=8),
+    "directores_celdas": professor_section("directores"),
+    "evaluadores_celdas": professor_section("evaluadores"),
+    "directores_celdas_total": professor_section("directores_total"),
+    "evaluadores_celdas_total": professor_section("evaluadores_total"),
+    "lado_a_lado_celdas": professor_section("lado_a_lado"),
     "modalidad_dynamics": modality.modality_report,
     "modalidad_rollup": lambda t: modality.hierarchy(modality.dynamics(t)),
     "modalidad_nested": modality_nested,
     "column_widths": widths,
     "sink_roundtrip": sink_roundtrip,
+    "labelled_moments": labelled_moments,
 }

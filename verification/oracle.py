@@ -9,11 +9,9 @@ from __future__ import annotations
 
 import re
 
-# The periods of the given data, one matrix column each.
-PERIODS = [
-    "1995-1", "1995-2", "1996-1", "1996-2", "1997-1", "1997-2", "1998-1",
-    "1998-2", "1999-1", "1999-2", "2000-1", "2000-2", "2001-1", "2001-2",
-]
+# Periods in a row of the block form, as the queries ask for it.
+WIDTH = 8
+PLACES = [f"p_{i:03d}" for i in range(1, WIDTH + 1)]
 
 CTES: dict[str, str] = {
     "solicitudes": """
@@ -216,11 +214,24 @@ CTES: dict[str, str] = {
         SELECT rol, nombre, periodo, total_periodo AS n FROM (
           SELECT *, row_number() OVER (PARTITION BY rol, nombre, periodo
             ORDER BY periodo_grupo DESC NULLS LAST) AS rn FROM carga) WHERE rn = 1""",
-    "matriz": "SELECT rol, nombre, "
-    + ", ".join(f"max(n) FILTER (periodo = '{p}') AS \"{p}\"" for p in PERIODS)
-    + ", CAST(coalesce(sum(n) FILTER (periodo IN ("
-    + ", ".join(f"'{p}'" for p in PERIODS)
-    + ")), 0) AS BIGINT) AS total_general FROM visible GROUP BY rol, nombre",
+    "periodos": """
+        SELECT periodo, row_number() OVER (ORDER BY periodo) - 1 AS lugar FROM (
+          SELECT DISTINCT valor AS periodo FROM eav WHERE name = 'periodo' AND fase = 2 AND valor IS NOT NULL)""",
+    "listadas": "SELECT v.rol, v.nombre, v.periodo, v.n, p.lugar FROM visible v JOIN periodos p ON p.periodo = v.periodo",
+    "totales": """
+        SELECT c.rol, c.nombre, CAST(coalesce(sum(l.n), 0) AS BIGINT) AS n
+        FROM (SELECT DISTINCT rol, nombre FROM carga) c
+        LEFT JOIN listadas l ON l.rol = c.rol AND l.nombre IS NOT DISTINCT FROM c.nombre GROUP BY c.rol, c.nombre""",
+    "puestos": "SELECT rol, nombre, row_number() OVER (PARTITION BY rol ORDER BY nombre NULLS FIRST) AS fila FROM totales",
+    "celdas": """
+        SELECT rol, nombre, 0 AS es_total, periodo, n FROM listadas
+        UNION ALL SELECT rol, nombre, 1, 'Total general', n FROM totales""",
+    "bloques": f"""
+        SELECT rol, nombre, lugar // {WIDTH} + 1 AS bloque, lugar % {WIDTH} + 1 AS lugar, n FROM listadas
+        UNION ALL SELECT rol, nombre, 1, 0, n FROM totales""",
+    "matriz": "SELECT rol, nombre, CAST(bloque AS INTEGER) AS bloque, "
+    + ", ".join(f"max(n) FILTER (lugar = {i}) AS {p}" for i, p in enumerate(PLACES, 1))
+    + ", max(n) FILTER (lugar = 0) AS total_general FROM bloques GROUP BY rol, nombre, bloque",
     "dinamica": """
         SELECT periodo, modalidad, count(*) AS cantidad,
           count(*) FILTER (estado IN ('Fase 4', 'Fase 5', 'Finalizado')) AS aprobados
@@ -228,6 +239,27 @@ CTES: dict[str, str] = {
 }
 
 
+CTES |= {
+    "vista_por_semestre": """
+        SELECT *, row_number() OVER (ORDER BY es_total, periodo NULLS FIRST) AS fila FROM (
+          SELECT periodo, proyectos_recibidos, proyectos_vigentes || ' (' || vigentes_tecnologico || ' Tecnología y '
+            || vigentes_profesional || ' Ingeniería)' AS proyectos_vigentes, estudiantes_vigentes, false AS es_total FROM semestre
+          UNION ALL SELECT 'TOTAL', CAST(sum(proyectos_recibidos) AS BIGINT), CAST(sum(proyectos_vigentes) AS VARCHAR),
+            CAST(sum(estudiantes_vigentes) AS BIGINT), true FROM semestre)""",
+    "vista_aprobacion": """
+        SELECT periodo, recibidos || ' (' || recibidos_estudiantes || ' estudiantes)' AS recibidos,
+          aprobados || ' (Corresponde a ' || aprobados_estudiantes || ' estudiantes)' AS aprobados,
+          pendientes || ' (Corresponde a ' || pendientes_estudiantes || ' estudiantes)' AS pendientes,
+          row_number() OVER (ORDER BY periodo NULLS FIRST) AS fila FROM aprobacion""",
+    "vista_por_modalidad": """
+        SELECT *, row_number() OVER (ORDER BY es_total, proyectos_tecnologico DESC, modalidad NULLS FIRST) AS fila FROM (
+          SELECT *, false AS es_total FROM por_modalidad
+          UNION ALL SELECT 'Total', CAST(sum(proyectos_tecnologico) AS BIGINT),
+            CAST(sum(estudiantes_tecnologico) AS BIGINT), CAST(sum(proyectos_profesional) AS BIGINT),
+            CAST(sum(estudiantes_profesional) AS BIGINT), true FROM por_modalidad)""",
+}
+
+
 def query(text: str) -> str:
     """``text`` with the CTEs it needs, in dependency order, each computed once."""
     needed = _needed(text, set())
@@ -243,30 +275,86 @@ def _needed(text: str, seen: set[str]) -> set[str]:
     return seen
 
 
-def _matrix_columns(prefix: str = "") -> str:
-    return ", ".join(f'{prefix}"{p}"' for p in [*PERIODS, "total_general"])
-
-
 def _matrix(section: str) -> str:
-    return f"SELECT nombre, {_matrix_columns()} FROM matriz WHERE rol = '{section}'"
+    return f"SELECT nombre, bloque, {', '.join(PLACES)}, total_general FROM matriz WHERE rol = '{section}'"
 
 
 def _matrix_total(section: str) -> str:
     sums = ", ".join(
-        f'CAST(nullif(sum("{p}"), 0) AS BIGINT) AS "{p}"' for p in [*PERIODS, "total_general"]
+        f"CAST(nullif(sum(n) FILTER (lugar = {i}), 0) AS BIGINT) AS {p}" for i, p in [*enumerate(PLACES, 1), (0, "total_general")]
     )
-    return f"SELECT 'Total general' AS nombre, {sums} FROM matriz WHERE rol = '{section}'"
+    return f"""SELECT 'Total general' AS nombre, CAST(bloque AS INTEGER) AS bloque, {sums} FROM (
+        SELECT bloque, lugar, n FROM bloques WHERE rol = '{section}'
+        UNION ALL SELECT lugar // {WIDTH} + 1, lugar % {WIDTH} + 1, NULL FROM periodos) GROUP BY bloque"""
 
 
 def _zip() -> str:
     shown = {
-        s: ", ".join(f'{s[0]}."{c}" AS "{s}_{c}"' for c in [*PERIODS, "total_general"])
+        s: ", ".join(f"max(n) FILTER (rol = '{s}' AND lugar = {i}) AS {s}_{p}" for i, p in [*enumerate(PLACES, 1), (0, "total_general")])
         for s in ("director", "evaluador")
     }
-    ranked = "SELECT *, row_number() OVER (ORDER BY nombre NULLS FIRST) AS fila FROM matriz WHERE rol = "
-    return f"""SELECT coalesce(d.fila, e.fila) AS fila, d.nombre AS director, {shown['director']},
-        e.nombre AS evaluador, {shown['evaluador']}
-        FROM ({ranked}'director') d FULL JOIN ({ranked}'evaluador') e ON d.fila = e.fila"""
+    names = {s: f"max(nombre) FILTER (rol = '{s}') AS {s}" for s in shown}
+    return f"""SELECT fila, CAST(bloque AS INTEGER) AS bloque, {names['director']}, {shown['director']}, {names['evaluador']}, {shown['evaluador']}
+        FROM (SELECT b.*, p.fila FROM bloques b JOIN puestos p ON p.rol = b.rol AND p.nombre IS NOT DISTINCT FROM b.nombre)
+        GROUP BY fila, bloque"""
+
+
+def _cells(section: str) -> str:
+    return f"SELECT nombre, es_total, periodo, n FROM celdas WHERE rol = '{section}'"
+
+
+def _cells_total(section: str) -> str:
+    return f"""SELECT 'Total general' AS nombre, 0 AS es_total, p.periodo, CAST(nullif(sum(l.n), 0) AS BIGINT) AS n
+        FROM periodos p LEFT JOIN listadas l ON l.periodo = p.periodo AND l.rol = '{section}' GROUP BY p.periodo
+        UNION ALL SELECT 'Total general', 1, 'Total general', CAST(nullif(sum(n), 0) AS BIGINT) FROM totales WHERE rol = '{section}'"""
+
+
+def _cells_beside() -> str:
+    half = """SELECT p.fila, c.es_total, c.periodo, c.nombre, c.n FROM celdas c
+        JOIN puestos p ON p.rol = c.rol AND p.nombre IS NOT DISTINCT FROM c.nombre WHERE c.rol = """
+    return f"""SELECT coalesce(d.fila, e.fila) AS fila, coalesce(d.es_total, e.es_total) AS es_total,
+        coalesce(d.periodo, e.periodo) AS periodo, d.nombre AS director, d.n AS director_n,
+        e.nombre AS evaluador, e.n AS evaluador_n
+        FROM ({half}'director') d FULL JOIN ({half}'evaluador') e
+          ON d.fila = e.fila AND d.es_total = e.es_total AND d.periodo = e.periodo"""
+
+
+# Sections of the statistics, their titles and (key, label, header above).
+STATISTICS = {
+    "por_semestre": ("Resumen por semestre", [
+        ("periodo", "Semestre", ""), ("proyectos_recibidos", "Proyectos recibidos", ""),
+        ("proyectos_vigentes", "Proyectos Vigentes", ""),
+        ("estudiantes_vigentes", "No. Estudiantes Proyectos Vigentes", ""), ("es_total", "Es total", ""),
+    ]),
+    "aprobacion": ("Aprobación de propuestas por semestre", [
+        ("periodo", "Semestre", ""), ("recibidos", "Proyectos recibidos", ""),
+        ("aprobados", "Propuestas aprobadas", ""), ("pendientes", "Propuestas pendientes por aprobar", ""),
+    ]),
+    "por_modalidad": ("Distribución por modalidad y programa", [
+        ("modalidad", "Modalidad", ""),
+        ("proyectos_tecnologico", "Cantidad Proyectos", "Tecnología en Desarrollo de Sistemas Informáticos"),
+        ("estudiantes_tecnologico", "No. Estudiantes", "Tecnología en Desarrollo de Sistemas Informáticos"),
+        ("proyectos_profesional", "Cantidad Proyectos", "Ingeniería de Sistemas"),
+        ("estudiantes_profesional", "No. Estudiantes", "Ingeniería de Sistemas"), ("es_total", "Es total", ""),
+    ]),
+}
+
+
+def _roundtrip() -> str:
+    """Every cell of the written sections as text, with the place of its row."""
+    lists = []
+    for section, (title, columns) in STATISTICS.items():
+        for i, (key, label, group) in enumerate(columns):
+            lists.append(("Estadísticas a presentar en comité curricular", section, title, str(i), group, key, label))
+    names = ("titulo", "de", "titulo_seccion", "posicion", "grupo", "clave", "etiqueta")
+    parts = [
+        f"SELECT 'columnas' AS seccion, CAST({place} AS BIGINT) AS fila, '{name}' AS columna, '{value}' AS valor"
+        for place, row in enumerate(lists, 1) for name, value in zip(names, row)
+    ]
+    for section, (_, columns) in STATISTICS.items():
+        for key, _, _ in columns:
+            parts.append(f"SELECT '{section}', fila, '{key}', CAST({key} AS VARCHAR) FROM vista_{section}")
+    return "\nUNION ALL ".join(parts)
 
 
 def _widths() -> str:
@@ -386,6 +474,13 @@ QUERIES: dict[str, str] = {
     "directores_matrix_total": _matrix_total("director"),
     "evaluadores_matrix_total": _matrix_total("evaluador"),
     "profesores_zip": _zip(),
+    "periodos_bloques": f"""
+        SELECT periodo, CAST(lugar // {WIDTH} + 1 AS INTEGER) AS bloque, CAST(lugar % {WIDTH} + 1 AS INTEGER) AS lugar FROM periodos""",
+    "directores_celdas": _cells("director"),
+    "evaluadores_celdas": _cells("evaluador"),
+    "directores_celdas_total": _cells_total("director"),
+    "evaluadores_celdas_total": _cells_total("evaluador"),
+    "lado_a_lado_celdas": _cells_beside(),
     "modalidad_dynamics": "SELECT * FROM dinamica",
     "modalidad_rollup": """
         SELECT 0 AS grupo, periodo, modalidad, modalidad AS etiqueta, cantidad, aprobados,
@@ -398,10 +493,10 @@ QUERIES: dict[str, str] = {
         SELECT periodo, CAST(to_json(list({'modalidad': modalidad, 'cantidad': cantidad, 'aprobados': aprobados}
           ORDER BY cantidad DESC, modalidad NULLS FIRST)) AS VARCHAR) AS filas FROM dinamica GROUP BY periodo""",
     "column_widths": _widths(),
-    "sink_roundtrip": """
-        SELECT 'por_semestre' AS seccion, periodo AS clave, proyectos_recibidos AS proyectos FROM semestre
-        UNION ALL SELECT 'aprobacion', periodo, recibidos FROM aprobacion
-        UNION ALL SELECT 'por_modalidad', modalidad, proyectos_tecnologico FROM por_modalidad""",
+    "sink_roundtrip": _roundtrip(),
+    "labelled_moments": """
+        SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+          strftime(deleted_at, '%Y-%m-%d %H:%M:%S') AS deleted_at, CAST(NULL AS VARCHAR) AS no_hay, estado FROM solicitudes""",
 }
 
 
