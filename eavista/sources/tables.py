@@ -100,6 +100,13 @@ def read_catalog(spark: SparkSession, database: str) -> Tables:
     return Tables.load(lambda name: spark.table(f"{database}.{name}"))
 
 
+# Ranges that one grouped count tells apart.
+COARSE = 4096
+
+# (first key, keys in a range, end) -> rows of (number of the range, rows in it).
+CountRanges = Callable[[int, int, int], list[tuple[int, int]]]
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
@@ -109,35 +116,77 @@ def read_jdbc(
 ) -> Tables:
     """Tables of a relational database, the large ones read in ranges of their key.
 
-    The bounds only shape the ranges: rows outside them still arrive, in the
-    first and the last range.
+    The ranges hold about as many rows each, whatever gaps and clusters the keys have:
+    the database counts them first. Rows that come in meanwhile are in one range too.
     """
 
-    def reader(dbtable: str, **extra: object):
-        return spark.read.format("jdbc").options(
-            url=url, dbtable=dbtable, fetchsize=fetch_size, **connection, **extra
-        )
+    def ask(query: str) -> list:
+        frame = spark.read.format("jdbc").options(url=url, query=query, **connection).load()
+        return [tuple(row) for row in frame.collect()]
 
     def read(name: str) -> DataFrame:
+        properties = {"fetchsize": str(fetch_size), **connection}
         key = RANGE_COLUMN.get(name)
         if key is None or partitions <= 1:
-            return reader(name).load()
-        bounds = f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {name}) bounds"
-        lowest, highest = reader(bounds).load().first()
-        if lowest is None or lowest == highest:
-            return reader(name).load()
-        return reader(name, **range_options(key, lowest, highest, partitions)).load()
+            return spark.read.jdbc(url, name, properties=properties)
+        (lowest, highest), = ask(bounds_query(name, key))
+        if lowest is None:
+            return spark.read.jdbc(url, name, properties=properties)
+        cuts = balanced_cuts(
+            lambda lo, width, hi: ask(count_query(name, key, lo, width, hi)), int(lowest), int(highest), partitions
+        )
+        return spark.read.jdbc(url, name, predicates=range_predicates(key, cuts), properties=properties)
 
     return Tables.load(read)
 
 
-def range_options(key: str, lowest: int, highest: int, partitions: int) -> dict[str, object]:
-    return {
-        "partitionColumn": key,
-        "lowerBound": int(lowest),
-        "upperBound": int(highest) + 1,
-        "numPartitions": min(partitions, int(highest) - int(lowest) + 1),
-    }
+def bounds_query(table: str, key: str) -> str:
+    return f"SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}"
+
+
+def count_query(table: str, key: str, lo: int, width: int, hi: int) -> str:
+    """Rows per range of ``width`` keys from ``lo`` to below ``hi``; at most ``COARSE`` rows come back."""
+    number = f"FLOOR(({key} - ({lo})) / {width})"
+    return f"SELECT {number} AS tramo, COUNT(*) AS n FROM {table} WHERE {key} >= {lo} AND {key} < {hi} GROUP BY {number}"
+
+
+def balanced_cuts(count: CountRanges, lowest: int, highest: int, partitions: int) -> list[int]:
+    """Keys at which to cut, so that ranges between them hold about as many rows.
+
+    Coarse ranges are counted; one that holds more than a fair share is counted again in
+    finer ones, down to single keys, which cannot be cut.
+    """
+    rows = _counted(count, lowest, highest + 1)
+    fair = sum(n for _, _, n in rows) / partitions
+    while True:
+        wide = [r for r in rows if r[2] > fair / 2 and r[1] - r[0] > 1]
+        if not wide:
+            break
+        finer = [part for start, end, _ in wide for part in _counted(count, start, end)]
+        rows = sorted([r for r in rows if r not in set(wide)] + finer)
+    cuts, held = [], 0
+    for start, _, n in rows:
+        # A range ends before what would take it further from its share than it is.
+        if held and held + n / 2 > fair:
+            cuts.append(start)
+            held = 0
+        held += n
+    return cuts
+
+
+def _counted(count: CountRanges, start: int, end: int) -> list[tuple[int, int, int]]:
+    """(start, end, rows) of the ranges between that hold any."""
+    width = -(-(end - start) // COARSE)
+    found = sorted((int(number), int(n)) for number, n in count(start, width, end))
+    return [(start + i * width, min(start + (i + 1) * width, end), n) for i, n in found]
+
+
+def range_predicates(key: str, cuts: list[int]) -> list[str]:
+    """Conditions of which every row, also one whose key is NULL, meets exactly one."""
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{key} < {cuts[0]} OR {key} IS NULL", *inner, f"{key} >= {cuts[-1]}"]
 
 
 def write_files(tables: Tables, path: str) -> None:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from eavista.operators.matrix import TOTAL
+from eavista.operators.matrix import ALL, CELL, COLUMN, ROW
 from eavista.plans import modality, professors, statistics
 from eavista.plans.general import general_report
 from tests.conftest import SF_DIR
@@ -53,12 +53,13 @@ def test_semester_counts_add_up(tables):
 
 
 def test_matrix_totals_agree(tables):
-    cells, periods = professors.workload(tables), professors.periods_of(tables)
+    matrix, periods = professors.every_cell(tables)
     for section in professors.SECTIONS:
-        matrix = professors.section_matrix(cells, section, periods).collect()
-        total = professors.section_total(cells, section, periods).first()
-        assert total[TOTAL] == sum(r[TOTAL] for r in matrix)
-        assert total[TOTAL] == sum(total[p] or 0 for p in periods)
+        mine = [r for r in matrix.collect() if r.rol == section]
+        (whole,) = [r.n for r in mine if r.nivel == ALL]
+        for level in (CELL, ROW, COLUMN):
+            assert whole == sum(r.n or 0 for r in mine if r.nivel == level)
+        assert len([r for r in mine if r.nivel == COLUMN]) == periods.count()
 
 
 def test_subtotals_are_the_sum_of_their_rows(tables):

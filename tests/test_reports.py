@@ -13,6 +13,8 @@ from eavista.plans import modality, professors, statistics
 from eavista.plans.beneficiaries import beneficiary_report
 from eavista.plans.general import EXPORT, general_report
 from eavista.plans.insurance import insurance_report
+from eavista.plans.registry import export_report
+from eavista.sources.sink import read_report
 from tests.tiny import DAY, column, project, rows_of, tiny_tables, user
 
 
@@ -286,7 +288,7 @@ def test_workload_counts_values_and_merges_namesakes(spark):
 
 def test_matrix_keeps_the_greatest_group_and_listed_periods(spark):
     t = professor_tables(spark)
-    cells, periods = professors.workload(t), professors.periods_of(t)
+    cells, periods = professors.workload(t), ["2020-1", "2021-1", "2023-2", "2024-1"]
     directors = professors.section_matrix(cells, "director", periods).orderBy("nombre")
     assert rows_of(directors) == [("Ana", None, None, None, 6, 6), ("Luis", None, None, None, None, 0)]
     assert rows_of(professors.section_total(cells, "director", periods)) == [
@@ -327,6 +329,85 @@ def test_professor_report_with_more_than_ten_thousand_periods(spark):
     assert sections["directores_total"].count() == sections["lado_a_lado"].count() == n + 1
 
 
+def block_rows(frame, *keys):
+    """The filled cells of a block section."""
+    places = [c for c in frame.columns if "p_0" in c or c.endswith("total_general")]
+    return [(*[r[k] for k in keys], {c: r[c] for c in places if r[c] is not None}) for r in frame.collect()]
+
+
+def test_professor_report_in_blocks(spark):
+    sections = professors.professor_report(professor_tables(spark), ancho=3)
+    assert rows_of(sections["periodos"]) == [("2020-1", 1, 1), ("2021-1", 1, 2), ("2023-2", 1, 3), ("2024-1", 2, 1)]
+    assert block_rows(sections["directores"], "nombre", "bloque") == [
+        ("Ana", 1, {"total_general": 6}), ("Ana", 2, {"p_001": 6}), ("Luis", 1, {"total_general": 0}),
+    ]
+    assert block_rows(sections["directores_total"], "nombre", "bloque") == [
+        ("Total general", 1, {"total_general": 6}), ("Total general", 2, {"p_001": 6}),
+    ]
+    assert block_rows(sections["lado_a_lado"], "fila", "bloque", "director", "evaluador") == [
+        (1, 1, "Ana", "Eva", {"director_total_general": 6, "evaluador_total_general": 0}),
+        (1, 2, "Ana", None, {"director_p_001": 6}),
+        (2, 1, "Luis", "Luis", {"director_total_general": 0, "evaluador_total_general": 4}),
+        (2, 2, None, "Luis", {"evaluador_p_001": 4}),
+    ]
+    assert sections["directores"].schema["p_001"].metadata["group"] == professors.GROUP
+
+
+ODD_PERIODS = ["Nombre", "bloque", "nombre", "p_001", "total_general", "Total general", "a`b", "á.b"]
+
+
+def test_periods_may_be_called_like_columns(spark):
+    values = [v for i, p in enumerate(ODD_PERIODS, 1) for v in ((i, 302, "1"), (i, 303, "2"), (i, 202, p))]
+    t = tiny_tables(spark, solicitudes=[project(i) for i in range(1, 9)], valores_campos=values)
+    listed = sorted(ODD_PERIODS)
+    wide = professors.professor_report(t, periodos=listed)
+    for section, person in (("directores", "User 1"), ("evaluadores", "User 2")):
+        assert rows_of(wide[section]) == [(person, *[3] * 8, 24)]
+        assert [f.metadata["label"] for f in wide[section].schema][1:-1] == listed
+    assert rows_of(wide["directores_total"]) == [("Total general", *[3] * 8, 24)]
+    assert wide["lado_a_lado"].count() == 1
+    long = professors.professor_report(t)
+    assert rows_of(long["directores"]) == [*[("User 1", 0, p, 3) for p in listed], ("User 1", 1, "Total general", 24)]
+    blocks = professors.professor_report(t, ancho=5)
+    assert block_rows(blocks["directores"], "bloque") == [
+        (1, {**{f"p_00{i}": 3 for i in range(1, 6)}, "total_general": 24}), (2, {f"p_00{i}": 3 for i in range(1, 4)}),
+    ]
+
+
+def test_reports_without_periods_or_people(spark):
+    nobody = tiny_tables(spark, valores_campos=[(1, 202, "2024-1")])
+    assert rows_of(professors.professor_report(nobody)["directores_total"]) == [
+        ("Total general", 0, "2024-1", None), ("Total general", 1, "Total general", None),
+    ]
+    assert professors.professor_report(nobody)["lado_a_lado"].isEmpty()
+    never = tiny_tables(spark, solicitudes=[project(1)], valores_campos=[(1, 302, "1")])
+    assert rows_of(professors.professor_report(never)["directores"]) == [("User 1", 1, "Total general", 0)]
+    assert block_rows(professors.professor_report(never, ancho=2)["directores"], "nombre") == [("User 1", {"total_general": 0})]
+
+
+def test_twenty_thousand_periods_in_blocks(spark, tmp_path):
+    """Written and read again: no period is a column, and no list of them reaches the driver."""
+    n = 20_000
+    values = [v for i in range(1, n + 1) for v in ((i, 302, "1"), (i, 202, f"P {i:05d}"))]
+    t = tiny_tables(spark, solicitudes=[project(i) for i in range(1, n + 1)], valores_campos=values)
+    export_report(spark, "dinamica_profesores_report", t, str(tmp_path), "x", ancho=40)
+    back = read_report(spark, str(tmp_path), "dinamica_profesores_report", "x")
+    rows = back["directores"].collect()
+    assert [r.bloque for r in rows] == list(range(1, 501)) and rows[0].total_general == 2 * n
+    assert all(r[f"p_{i:03d}"] == 2 for r in rows for i in range(1, 41))
+    assert back["periodos"].count() == n and back["directores_total"].count() == 500
+
+
+def test_beneficiaries_are_in_order_of_level_and_name(spark):
+    people = [user(1, "Zoe"), user(2, "Ana"), user(3, "Ana"), user(4, "Luis")]
+    values = []
+    for p, (member, level) in enumerate([(1, "1"), (2, "2"), (3, "1"), (4, None)], 1):
+        values += [(p, 206, str(member)), (p, 601, f'["{member}"]'), *([(p, 204, level)] if level else [])]
+    t = tiny_tables(spark, users=people, solicitudes=[project(i) for i in range(1, 5)], valores_campos=values)
+    shown = [(r.programa, r.estudiante) for r in beneficiary_report(t).collect()]
+    assert shown == [(None, "Luis"), ("Ingeniería", "Ana"), ("Tecnología", "Ana"), ("Tecnología", "Zoe")]
+
+
 def test_modality_hierarchy_tells_null_modality_from_subtotal(spark):
     t = tiny_tables(
         spark,
