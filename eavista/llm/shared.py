@@ -120,8 +120,8 @@ def lean_group(task: Callable) -> Callable:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
-    column = column.fill_null("").cast(pa.large_binary())
+    """UTF-8 bytes of a string (or binary) column and the offsets of its rows; null counts as empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
