@@ -106,6 +106,16 @@ def test_exact_groups(docs, nothing, spark):
     assert exact_dedup.deduplicated(nothing).isEmpty()
 
 
+def test_stages_keep_columns_called_like_their_own(spark):
+    own = "_sha256 string, _maybe int, _stay int, _gone int, _text string"
+    rows = [(1, "a b", "x", 1, 2, 3, "t"), (2, "a b", "y", 4, 5, 6, "u"), (3, "c", "z", 7, 8, 9, "v")]
+    once = spark.createDataFrame(rows, f"doc_id long, text string, {own}")
+    assert sorted(map(tuple, exact_dedup.deduplicated(once).collect())) == rows[1:]
+    twice = spark.createDataFrame(rows + [rows[2], (3, "d", "w", 0, 0, 0, "")], once.schema)
+    kept = exact_dedup.deduplicated(twice)
+    assert kept.columns == once.columns and sorted(map(tuple, kept.collect())) == sorted([*rows[1:], (3, "d", "w", 0, 0, 0, "")])
+
+
 @pytest.mark.parametrize("n, span", [(1, 5), (7, 8), (1000, 1 << 40), (5, 1 << 62)])
 def test_golomb_round_trip(n, span):
     values = np.unique(np.random.default_rng(n).integers(0, span, n, np.uint64))
@@ -311,9 +321,12 @@ def test_patterns_are_near_the_bound():
 
 def test_mixing(spark, nothing):
     table = [(i, "w " * (1 + i % 7), "big" if i % 10 else ("small", None)[i // 10 % 2]) for i in range(4000)]
-    docs = spark.createDataFrame([r + (1, 2) for r in table], "doc_id long, text string, source string, pass_no int, block int")
-    uses = Counter(r.doc_id for r in mixing.mixed(docs).collect())
+    own = "pass_no int, block_rank int, block int, _source string, _block int, _part int, _parts int, _tokens int"
+    docs = spark.createDataFrame([r + (1, 2, 3, "s", 5, 6, 7, 8) for r in table], f"doc_id long, text string, source string, {own}")
+    found = mixing.mixed(docs).collect()
+    uses = Counter(r.doc_id for r in found)
     assert set(uses) == set(range(4000)) and mixing.mixed(docs).columns == docs.columns
+    assert all(tuple(r)[3:] == (1, 2, 3, "s", 5, 6, 7, 8) for r in found)
     sizes = Counter()
     for i, text, source in table:
         sizes[source] += len(text.split())

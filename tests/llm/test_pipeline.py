@@ -28,7 +28,7 @@ def test_stages(spark):
 def test_sql(spark, name):
     found = QUERIES[name](spark, SF_DIR).toPandas()
     with duckdb.connect() as base:
-        for view in ("documents", "embeddings"):
+        for view in ("documents", "embeddings", "conversations"):
             base.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SF_DIR}/{view}.parquet'")
         wanted = base.execute(ORACLE[name]).df()
     columns = sorted(wanted.columns)
