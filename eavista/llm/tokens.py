@@ -28,9 +28,9 @@ import pandas as pd
 
 from eavista.llm.shared import mixed, random_words, slices
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 # Distinct pieces that a worker remembers, some 40 bytes each; beyond, it forgets all and starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 # Pieces encoded in one call, and what keeps a piece out of such a call: white space after
 # its first character, or what the separating pieces are made of.
