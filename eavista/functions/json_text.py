@@ -4,6 +4,8 @@ Lists of scalars, which nearly all documents are, are a regular language: one ex
 whether a text is one, and its tokens are counted or taken out. Other texts are read once by a
 strict parser that skips over the value, so no document is built. What they hold is then told
 by their tokens and a running depth, in one pass whatever the number of levels.
+
+The expressions are SQL texts: one call builds what some hundred calls of functions would.
 """
 
 from __future__ import annotations
@@ -25,133 +27,145 @@ _FLAT_LIST = rf"^{_SPACE}\[{_SPACE}(?:{_SCALAR}{_SPACE}(?:,{_SPACE}{_SCALAR}{_SP
 _PARSED_KEY = 50_000
 _LONG_KEY = rf'("{_CHARACTER}{{0,9999}}+"|{_STRING}(?!{_SPACE}:))|("){_CHARACTER}{{10000,}}+(")(?={_SPACE}:)'
 _UNBOUNDED = str(2**31 - 1)
-_STRICT = {
-    "maxNestingDepth": _UNBOUNDED,
-    "maxNumLen": _UNBOUNDED,
-    "maxStringLen": _UNBOUNDED,
-    "allowSingleQuotes": "false",
-    "allowNonNumericNumbers": "false",
-}
+_STRICT = (
+    f"map('maxNestingDepth', '{_UNBOUNDED}', 'maxNumLen', '{_UNBOUNDED}', 'maxStringLen', '{_UNBOUNDED}', "
+    "'allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
+)
 
 # Tokens whose moves are added up together.
 _BLOCK = 64
 
 
-def json_length(text: Column) -> Column:
-    """``JSON_LENGTH``: array size, number of different object keys, 1 for a scalar; NULL for malformed text."""
-    first = F.regexp_extract(text, rf"^{_SPACE}(.)", 1)
-    nested = F.when(first == "[", _elements(text)).when(first == "{", _different_keys(text)).otherwise(F.lit(1))
-    return F.when(text.rlike(_FLAT_LIST), F.regexp_count(text, F.lit(_SCALAR))).when(_one_value(text), nested)
+def json_length(column: str) -> Column:
+    """``JSON_LENGTH`` of a text column: array size, number of different object keys, 1 for a scalar; NULL for malformed text."""
+    text = _named(column)
+    first = f"regexp_extract({text}, {_raw(rf'^{_SPACE}(.)')}, 1)"
+    return F.expr(
+        f"CASE WHEN {_flat(text)} THEN regexp_count({text}, {_raw(_SCALAR)}) WHEN {_one_value(text)} THEN "
+        f"CASE {first} WHEN '[' THEN {_elements(text)} WHEN '{{' THEN {_different_keys(text)} ELSE 1 END END"
+    )
 
 
-def json_string_members(text: Column) -> Column:
-    """The strings ``s`` for which ``JSON_CONTAINS(text, '"s"')`` holds, as an array.
+def json_string_members(column: str) -> Column:
+    """The strings ``s`` for which ``JSON_CONTAINS(text, '"s"')`` holds for a text column, as an array.
 
     They are the document itself when it is a string, and the string elements of
     an array at any depth of nested arrays. Numbers and strings inside objects do
     not count.
     """
-    every = F.regexp_extract_all(text, F.lit(_STRING), F.lit(0))
+    text = _named(column)
+    every = f"regexp_extract_all({text}, {_raw(_STRING)}, 0)"
     outside = _kept(text, rf"{_STRING}|[{{}}]", "{", "}", 0)
-    shown = F.when(F.contains(text, F.lit("{")) & ~text.rlike(_FLAT_LIST), outside).otherwise(every)
-    return F.when(text.rlike(_FLAT_LIST) | _one_value(text), _bind(shown, _decoded))
+    shown = f"CASE WHEN contains({text}, '{{') THEN {outside} ELSE {every} END"
+    return F.expr(
+        f"CASE WHEN {_flat(text)} THEN {_bind(every, _decoded)} WHEN {_one_value(text)} THEN {_bind(shown, _decoded)} END"
+    )
+
+
+def _named(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _raw(pattern: str) -> str:
+    """A literal that takes backslashes as they are; no pattern here has an apostrophe."""
+    return f"r'{pattern}'"
+
 
+def _flat(text: str) -> str:
+    return f"rlike({text}, {_raw(_FLAT_LIST)})"
 
-def _one_value(text: Column) -> Column:
+
+def _one_value(text: str) -> str:
     """Whether the text is one JSON value.
 
     It stands as a member of an object and as the element of an array, before a last member
     that no text can hold. Text that goes on behind its value, or closes what is around
     it, is malformed in one of the two.
     """
-    mark = F.sha2(text, 256)
-    value = F.when(
-        F.octet_length(text) >= _PARSED_KEY, F.regexp_replace(text, F.lit(_LONG_KEY), F.lit("$1$2$3"))
-    ).otherwise(text)
+    short = f"regexp_replace({text}, {_raw(_LONG_KEY)}, '$1$2$3')"
+    value = f"CASE WHEN octet_length({text}) >= {_PARSED_KEY} THEN {short} ELSE {text} END"
+    mark = f"sha2({text}, 256)"
 
-    def ends(value: Column) -> Column:
-        around = F.concat(F.lit('{"m":'), value, F.lit(',"l":['), value, F.lit('],"end":"'), mark, F.lit('"}'))
-        return F.coalesce(F.from_json(around, "struct<end string>", _STRICT)["end"] == mark, F.lit(False))
+    def ends(value: str) -> str:
+        around = f"""concat('{{"m":', {value}, ',"l":[', {value}, '],"end":"', {mark}, '"}}')"""
+        return f"coalesce(from_json({around}, 'end string', {_STRICT}).end = {mark}, false)"
 
     return _bind(value, ends)
 
 
-def _elements(text: Column) -> Column:
+def _elements(text: str) -> str:
     """The number of elements of a valid array that is not empty: its own commas, and one."""
-    tokens = F.regexp_extract_all(text, F.lit(rf"{_STRING}|[\[\]{{}},]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("commas"))
-
-    def step(state: Column, token: Column) -> Column:
-        comma = F.when((token == ",") & (state["depth"] == 1), 1).otherwise(0)
-        depth = state["depth"] + _move(token, "[{", "]}")
-        return F.struct(depth.alias("depth"), (state["commas"] + comma).alias("commas"))
-
-    return F.aggregate(tokens, start, step, lambda state: state["commas"] + 1)
+    tokens = f"regexp_extract_all({text}, {_raw(rf'{_STRING}|[{chr(92)}[{chr(92)}]{{}},]')}, 0)"
+    comma = "CASE WHEN token = ',' AND state.depth = 1 THEN 1 ELSE 0 END"
+    step = f"struct(state.depth + {_move('token', '[{', ']}')} AS depth, state.commas + {comma} AS commas)"
+    return f"aggregate({tokens}, struct(0 AS depth, 0 AS commas), (state, token) -> {step}, state -> state.commas + 1)"
 
 
-def _different_keys(text: Column) -> Column:
-    keys = _kept(text, rf"{_STRING}{_SPACE}:|{_STRING}|[\[\]{{}}]", "[{", "]}", 1, ending=":")
-    return F.size(F.array_distinct(_bind(keys, _decoded)))
+def _different_keys(text: str) -> str:
+    token = rf"{_STRING}{_SPACE}:|{_STRING}|[\[\]{{}}]"
+    keys = _kept(text, token, "[{", "]}", 1, ending=":")
+    return f"size(array_distinct({_bind(keys, _decoded)}))"
 
 
-def _kept(text: Column, token: str, opening: str, closing: str, level: int, ending: str = "") -> Column:
+def _kept(text: str, token: str, opening: str, closing: str, level: int, ending: str = "") -> str:
     """The string literals among the tokens (those with that ending) that stand so many brackets deep.
 
     A token's depth is the sum of the moves before it: of blocks of blocks, of blocks, and
     within its own block.
     """
 
-    def wanted(tokens: Column, moves: Column, sums: Column, above: Column) -> Column:
-        def of_block(block: Column) -> Column:
-            group = F.floor(block / _BLOCK).cast("int")
-            start = _sum(above, F.lit(1), group) + _sum(sums, group * _BLOCK + 1, block % _BLOCK)
-            first = block * _BLOCK + 1
+    def wanted(tokens: str, moves: str, sums: str, above: str) -> str:
+        group = f"int(floor(block / {_BLOCK}))"
+        start = f"{_sum(above, '1', group)} + {_sum(sums, f'{group} * {_BLOCK} + 1', f'block % {_BLOCK}')}"
+        first = f"block * {_BLOCK} + 1"
 
-            def there(start: Column) -> Column:
-                return F.filter(
-                    F.slice(tokens, first, _BLOCK),
-                    lambda token, at: F.startswith(token, F.lit('"'))
-                    & F.endswith(token, F.lit(ending))
-                    & (start + _sum(moves, first, at) == level),
-                )
+        def there(start: str) -> str:
+            depth = f"{start} + {_sum(moves, first, 'place')}"
+            literal = f"startswith(token, '\"') AND endswith(token, '{ending}')"
+            return f"filter(slice({tokens}, {first}, {_BLOCK}), (token, place) -> {literal} AND {depth} = {level})"
 
-            return _bind(start, there)
+        kept = f"flatten(transform({_blocks(tokens)}, block -> {_bind(start, there)}))"
+        return f"transform({kept}, token -> regexp_extract(token, {_raw(_STRING)}, 0))" if ending else kept
 
-        kept = F.flatten(F.transform(_blocks(tokens), of_block))
-        return F.transform(kept, lambda token: F.regexp_extract(token, _STRING, 0)) if ending else kept
-
-    def moved(tokens: Column) -> Column:
-        moves = F.transform(tokens, lambda token: _move(token, opening, closing))
+    def moved(tokens: str) -> str:
+        moves = f"transform({tokens}, token -> {_move('token', opening, closing)})"
         return _bind(moves, lambda moves: _bind(_block_sums(moves), lambda sums: _bind(
             _block_sums(sums), lambda above: wanted(tokens, moves, sums, above)
         )))
 
-    return _bind(F.regexp_extract_all(text, F.lit(token), F.lit(0)), moved)
+    return _bind(f"regexp_extract_all({text}, {_raw(token)}, 0)", moved)
 
 
-def _blocks(values: Column) -> Column:
+def _blocks(values: str) -> str:
     """The numbers of the blocks of an array that is not empty."""
-    return F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int"))
+    return f"sequence(0, int(floor((size({values}) - 1) / {_BLOCK})))"
+
 
+def _sum(values: str, start: str, length: str) -> str:
+    return f"aggregate(slice({values}, {start}, {length}), 0, (total, value) -> total + value)"
 
-def _sum(values: Column, start: Column, length: Column) -> Column:
-    return F.aggregate(F.slice(values, start, length), F.lit(0), lambda total, value: total + value)
 
+def _block_sums(values: str) -> str:
+    return f"transform({_blocks(values)}, b -> {_sum(values, f'b * {_BLOCK} + 1', str(_BLOCK))})"
 
-def _block_sums(values: Column) -> Column:
-    return F.transform(_blocks(values), lambda block: _sum(values, block * _BLOCK + 1, F.lit(_BLOCK)))
 
+def _move(token: str, opening: str, closing: str) -> str:
+    def one_of(kinds: str) -> str:
+        return f"{token} IN ({', '.join(repr(c) for c in kinds)})"
 
-def _move(token: Column, opening: str, closing: str) -> Column:
-    return F.when(token.isin(*opening), 1).when(token.isin(*closing), -1).otherwise(0)
+    return f"CASE WHEN {one_of(opening)} THEN 1 WHEN {one_of(closing)} THEN -1 ELSE 0 END"
 
 
-def _decoded(literals: Column) -> Column:
+def _decoded(literals: str) -> str:
     """The values of JSON string literals."""
-    array = F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]"))
-    return F.from_json(array, "array<string>", _STRICT)
+    return f"from_json(concat('[', array_join({literals}, ','), ']'), 'array<string>', {_STRICT})"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+def _bind(value: str, body: Callable[[str], str]) -> str:
     """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
-    return F.transform(F.array(value), body)[0]
+    inner = body("bound_0")
+    depth = 0
+    while f"bound_{depth} ->" in inner or f"bound_{depth} ->" in value:
+        depth += 1
+    name = f"bound_{depth}"
+    return f"transform(array({value}), {name} -> {body(name)})[0]"

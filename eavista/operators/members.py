@@ -47,7 +47,7 @@ def repeat_copies(frame: DataFrame) -> DataFrame:
 def listed_members(tables: Tables) -> DataFrame:
     """Distinct (project, user id) that the project's JSON lists name."""
     rows = attribute_rows(tables.valores_campos, tables.campos, LIST_ATTRIBUTE)
-    named = rows.select("solicitud_id", F.explode(json_string_members(F.col("valor"))).alias("texto"))
+    named = rows.select("solicitud_id", F.explode(json_string_members("valor")).alias("texto"))
     return (
         named.select("solicitud_id", canonical_id(F.col("texto")).alias("usuario_id"))
         .filter(F.col("usuario_id").isNotNull())

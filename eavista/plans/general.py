@@ -106,7 +106,7 @@ def general_report(
         "consecutivo",
         "objetivo",
         "observaciones",
-        zero_if_null(json_length(F.col("lista_beneficiarios"))).alias("beneficiarios_icfes"),
+        zero_if_null(json_length("lista_beneficiarios")).alias("beneficiarios_icfes"),
         preferred_text(F.col("titulo_propio"), F.col("titulo_idea")).alias("titulo"),
         "nivel",
         "modalidad",

@@ -50,7 +50,7 @@ def unsigned(t: Tables) -> DataFrame:
 
 def json_len(t: Tables) -> DataFrame:
     rows = attribute_rows(t.valores_campos, t.campos, LIST_ATTRIBUTE)
-    length = zero_if_null(json_length(F.col("valor")))
+    length = zero_if_null(json_length("valor"))
     return rows.select("solicitud_id", "campo_id", "valor", length.alias("largo"))
 
 
