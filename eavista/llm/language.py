@@ -151,6 +151,9 @@ def detect(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarra
         if not better.any():
             break
     for row, share in zip(there, chosen):
+        if not any(map(str.isalpha, texts[row])):
+            # Marks go on with a word, but are no letters by themselves.
+            continue
         top = int(np.argmax(share))
         languages[row], scores[row] = model.names[top], min(1.0, share[top])
         sets[row] = ",".join(model.names[i] for i in np.flatnonzero(share > 0))

@@ -33,6 +33,9 @@ from eavista.llm.tokens import worker_encoder
 
 SEQUENCE = 4096
 CLASSES = 512
+# Pieces up to this length are told apart exactly and planned in bundles of some BUNDLE ids.
+SHORT = 64
+BUNDLE = 256
 # The linear program stops when it is this near its bound.
 GAP = 3e-3
 
@@ -140,6 +143,19 @@ def plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[int, di
     return out
 
 
+def items(demand: dict[int, int], unit: int) -> list[dict[str, int]]:
+    """What is planned: pieces of a class, or bundles of short ones of one length; sizes in units."""
+    out = []
+    for kind, n in sorted(demand.items()):
+        if kind > SHORT:
+            out.append({"kind": kind, "pieces": 1, "size": kind - SHORT, "n": n})
+            continue
+        for pieces, times in ((BUNDLE // kind, n // (BUNDLE // kind)), (1, n % (BUNDLE // kind))):
+            if times:
+                out.append({"kind": kind, "pieces": pieces, "size": -(-pieces * kind // unit), "n": times})
+    return out
+
+
 def packed(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
     """A row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded``."""
     spark = docs.sparkSession
@@ -147,19 +163,21 @@ def packed(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
     pieces = stored(texts.mapInArrow(lean(_pieces(vocabulary, end)), PIECES), "pieces")
 
     unit = SEQUENCE // CLASSES
-    kind = F.ceil(F.col("length") / unit).cast("int")
+    kind = F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.ceil(F.col("length") / unit) + SHORT).cast("int")
     buckets = max(64, partitions(spark))
     # Equal rows differ by no column, so the bucket of a repeated row is drawn from its place.
     spread = F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
     pieces = stored(pieces.select("*", kind.alias("kind"), spread.alias("bucket")), "classes")
     sizes = pieces.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n"))
     demand = {r.kind: r.n for r in sizes.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    kinds = np.array(sorted(demand), np.int64)
+    planned = items(demand, unit)
     slots, base, done = [], 0, dict.fromkeys(demand, 0)
-    for times, held in plan(kinds, np.array([demand[k] for k in kinds.tolist()], np.int64), CLASSES):
-        slot = 0
-        for i, each in held.items():
-            k = int(kinds[i])
+    for times, held in plan(*(np.array([x[c] for x in planned], np.int64) for c in ("size", "n")), CLASSES):
+        slot, pieces_of = 0, {}
+        for i, count in held.items():
+            k = planned[i]["kind"]
+            pieces_of[k] = pieces_of.get(k, 0) + count * planned[i]["pieces"]
+        for k, each in pieces_of.items():
             slots.append((k, done[k], done[k] + times * each, base, each, slot))
             done[k], slot = done[k] + times * each, slot + each
         base += times
@@ -169,7 +187,7 @@ def packed(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
     before = Window.partitionBy("kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("kind", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inner = Window.partitionBy("kind", "bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("place", F.row_number().over(inner) - 1).join(F.broadcast(first), ["kind", "bucket"])
+    ranked = pieces.withColumn("place", F.row_number().over(inner) - 1).join(first, ["kind", "bucket"])
     ranked = ranked.withColumn("rank", F.col("first") + F.col("place")).drop("first", "place", "bucket")
     put = ranked.join(
         F.broadcast(slots),

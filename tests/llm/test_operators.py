@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from eavista.llm import components as contraction
 from eavista.llm import (
@@ -307,6 +308,26 @@ def test_packing(docs, nothing):
     assert packing.packed(nothing, vocabulary("word_bpe_49k.json")).isEmpty()
 
 
+@pytest.mark.parametrize("text, rows, sequences", [("", 5000, 2), ("a " * 8, 3000, 7), ("a " * 40, 1000, 11)])
+def test_packing_short_texts(spark, text, rows, sequences):
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    found = packing.packed(docs, vocabulary("word_bpe_49k.json"))
+    filled = defaultdict(list)
+    for r in found.collect():
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert len(filled) == sequences and sum(len(p) for p in filled.values()) == rows
+    for pieces in filled.values():
+        pieces.sort()
+        assert [a for a, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))]
+        assert sum(n for _, n in pieces) <= 4096
+
+
+def test_marks_alone_are_no_language(spark):
+    model = language.LanguageModel(("aa",), np.zeros((1 << language.BITS, 1)))
+    names, scores, sets = language.detect(model, ["\u0301 \u0302", "e\u0301", "123", "x"])
+    assert names == ["und", "aa", "und", "aa"] and scores[0] == 0 and sets[0] == ""
+
+
 def test_patterns_are_near_the_bound():
     sizes, demand = np.array([3, 5, 7, 11, 23, 30]), np.array([100, 90, 80, 70, 60, 10])
     found = packing.plan(sizes, demand, 64)
