@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eavista.functions.json_text import json_length
+from eavista.functions.json_text import json_length, json_string_members
 from eavista.functions.scalars import preferred_text, unsigned_cast, zero_if_null
 from eavista.operators.attributes import attribute_rows, greatest
 from eavista.operators.filters import projects_of
@@ -54,6 +54,27 @@ def json_len(t: Tables) -> DataFrame:
     return rows.select("solicitud_id", "campo_id", "valor", length.alias("largo"))
 
 
+def json_shapes(t: Tables) -> DataFrame:
+    """Lengths and members of nested lists, objects, scalars and malformed text made from ids."""
+    k = F.col("id").cast("string")
+    texts = [
+        F.concat(F.lit('["'), k, F.lit('",["'), k, F.lit('x"]]')),
+        F.concat(F.lit('{"a":"'), k, F.lit('","b":["'), k, F.lit('"],"a":1}')),
+        F.concat(F.lit('"'), k, F.lit('"')),
+        k,
+        F.concat(F.lit('["'), k, F.lit('"')),
+        F.concat(F.lit(' [{"a":"'), k, F.lit('"} , "'), k, F.lit('"]\n')),
+        F.concat(F.lit('[[["'), k, F.lit('"],{}],'), k, F.lit("]")),
+        F.lit(""),
+        F.lit(None).cast("string"),
+        F.concat(F.lit('["'), k, F.lit('"] 1')),
+    ]
+    shape = F.pmod("id", F.lit(len(texts)))
+    rows = t.solicitudes.select("id", F.element_at(F.array(*texts), (shape + 1).cast("int")).alias("texto"))
+    members = F.coalesce(F.array_contains(json_string_members("texto"), F.col("id").cast("string")), F.lit(False))
+    return rows.select("id", "texto", json_length("texto").alias("largo"), members.alias("contiene"))
+
+
 def level_lookup(t: Tables) -> DataFrame:
     return project_frame(t, formal(t), levels=True).select("id", "nivel_ref", "nivel")
 
@@ -212,6 +233,7 @@ QUERIES: dict[str, Query] = {
     "eav_wide": eav_wide,
     "unsigned_cast": unsigned,
     "json_len": json_len,
+    "json_shapes": json_shapes,
     "ref_lookup_level": level_lookup,
     "ref_lookup_modality": modality_lookup,
     "ref_lookup_director": director_lookup,

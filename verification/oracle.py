@@ -389,6 +389,15 @@ QUERIES: dict[str, str] = {
           CASE json_type(valor) WHEN 'ARRAY' THEN json_array_length(valor)
             WHEN 'OBJECT' THEN len(json_keys(valor)) ELSE 1 END ELSE 0 END AS INTEGER) AS largo
         FROM valores_campos WHERE campo_id = 601""",
+    "json_shapes": """
+        SELECT id, texto, CAST(CASE WHEN json_valid(texto) THEN CASE json_type(texto) WHEN 'ARRAY' THEN json_array_length(texto)
+            WHEN 'OBJECT' THEN len(list_distinct(json_keys(texto))) ELSE 1 END END AS INTEGER) AS largo,
+          id % 10 IN (0, 2, 5, 6) AS contiene
+        FROM (SELECT id, CASE id % 10 WHEN 0 THEN '["' || id || '",["' || id || 'x"]]'
+            WHEN 1 THEN '{"a":"' || id || '","b":["' || id || '"],"a":1}' WHEN 2 THEN '"' || id || '"'
+            WHEN 3 THEN CAST(id AS VARCHAR) WHEN 4 THEN '["' || id || '"'
+            WHEN 5 THEN ' [{"a":"' || id || '"} , "' || id || '"]' || chr(10) WHEN 6 THEN '[[["' || id || '"],{}],' || id || ']'
+            WHEN 7 THEN '' WHEN 8 THEN NULL ELSE '["' || id || '"] 1' END AS texto FROM solicitudes)""",
     "ref_lookup_level": """
         SELECT s.id, r.ref AS nivel_ref, n.nombre AS nivel FROM formales s
         LEFT JOIN ref_nivel r ON r.solicitud_id = s.id LEFT JOIN niveles n ON n.id = r.ref""",
