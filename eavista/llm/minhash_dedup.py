@@ -22,7 +22,8 @@ less than ``MISSED`` probability; the sketches' margin is of ``MARGIN`` standard
 Words are runs of bytes other than white space of ASCII, A-Z in lower case. A document
 with fewer words than a shingle has one shingle, all its words; without words, or with
 null text, it has none and links with nothing. A null id links with nothing and is kept.
-Rows that repeat an id are one vertex. An empty table gives an empty result.
+Rows that repeat an id are one vertex: their texts are compared each, and what any of them
+links with is linked with all. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from eavista.llm.components import components
 from eavista.llm.marked import bitmap, without
-from eavista.llm.shared import lean, lean_group, longs, mixed, random_words, slices, stored, utf8
+from eavista.llm.shared import lean, lean_group, longs, mixed, random_words, slices, small_batches, stored, utf8
 from eavista.llm.tokens import LOWER, inverse_powers, prefix_hashes, stretch_hashes
 
 SAMPLES = 128
@@ -336,15 +337,40 @@ def _open_tiles(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: ``doc_id, n_shingles, component_id, kept``."""
-    threshold = percent / 100
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = stored(
-        texts.mapInArrow(
-            lean(_sketched(words, bands(threshold))),
-            "doc_id long, n long, one long, two long, keys array<long>, sketch binary",
-        ),
-        "sketches",
-    )
+    repeated = texts.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return _alone(texts, words, percent)
+    # Each text of an id is a vertex of its own at first.
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    rows = stored(texts.withColumn("row_id", own), "rows")
+    found = _alone(rows.select(F.col("row_id").alias("doc_id"), "text"), words, percent)
+    found = found.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("part"))
+    named = rows.select("doc_id", "row_id").join(found.withColumnRenamed("doc_id", "row_id"), "row_id", "left")
+    nameless = rows.filter("row_id is null").select(F.col("doc_id"), "text")
+    named = stored(named.filter("row_id is not null"), "parts")
+    # Then parts that share an id are one, named by its smallest id.
+    least = named.groupBy("doc_id").agg(F.min("part").alias("a"))
+    joined = components(named.join(least, "doc_id").select("a", F.col("part").alias("b")))
+    whole = named.join(joined, F.col("part") == F.col("vertex"), "left")
+    whole = stored(whole.select("doc_id", "n_shingles", F.coalesce("component", "part").alias("whole")), "wholes")
+    first = whole.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    out = whole.join(first, "whole").select("doc_id", "n_shingles", "component_id")
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.unionByName(_alone(nameless, words, percent))
+
+
+def _alone(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same where no id repeats with another text."""
+    threshold = percent / 100
+    with small_batches(texts.sparkSession):
+        sketched = stored(
+            texts.mapInArrow(
+                lean(_sketched(words, bands(threshold))),
+                "doc_id long, n long, one long, two long, keys array<long>, sketch binary",
+            ),
+            "sketches",
+        )
     # Equal sets are one: the first id stands for them.
     real = sketched.filter("n > 0 and doc_id is not null")
     equal = real.groupBy("n", "one", "two").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("row"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eavista.llm.shared import lean, partitions, stored, utf8
+from eavista.llm.shared import lean, partitions, small_batches, stored, utf8
 from eavista.llm.tokens import worker_encoder
 
 SEQUENCE = 4096
@@ -160,7 +160,8 @@ def packed(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
     """A row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded``."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = stored(texts.mapInArrow(lean(_pieces(vocabulary, end)), PIECES), "pieces")
+    with small_batches(spark):
+        pieces = stored(texts.mapInArrow(lean(_pieces(vocabulary, end)), PIECES), "pieces")
 
     unit = SEQUENCE // CLASSES
     kind = F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.ceil(F.col("length") / unit) + SHORT).cast("int")

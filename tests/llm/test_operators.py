@@ -203,6 +203,20 @@ def test_near_documents(docs, nothing, spark, monkeypatch, block, most, shingles
     assert minhash_dedup.deduplicated(docs).columns == docs.columns
 
 
+def test_near_documents_of_repeated_ids(spark):
+    """An id joins what any of its texts resembles."""
+    a, b = prose(31, 60), prose(32, 60)
+    table = [(1, a), (2, a + " x"), (5, b), (5, a + " y"), (6, b + " z"), (7, prose(33, 60)), (7, prose(34, 60)), (7, None), (8, ""), (None, a), (5, b)]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    found = minhash_dedup.near_duplicates(frame, 3, 85).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found), key=str)
+    wanted = [(1, 1), (2, 1), (5, 1), (5, 1), (6, 1), (7, 7), (7, 7), (7, 7), (8, 8), (None, None), (5, 1)]
+    sizes = [len({tuple(w[k : k + 3]) for k in range(len(w) - 2)}) for w in ((t or "").split() for _, t in table)]
+    assert got == sorted(((i, n, c, i == c) for (i, c), n in zip(wanted, sizes)), key=str)
+    kept = minhash_dedup.deduplicated(frame, 3, 85)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 7, 7, 7, 8, None], key=str)
+
+
 def test_urls(spark):
     urls = [None, "", "nothing", "http://NET/x", "https://a.b.net/en/", "http://x.example.net/en/1?q=/", "http://example.net",
             "http://a.example.com/de/1#t", "http://EXAMPLE.org/fr/", "ftp://u@h:80?x", "http://x.org/de/\n", "a://b://c"]
