@@ -15,7 +15,9 @@ from eavista.functions.scalars import unsigned_cast
 
 # Attributes that one bigint has a bit for; more take further words.
 WORD = 62
-# Ids of a reference and NULL, which has the least number, are told by numbers below it.
+# Ids that go into one bigint together with an attribute id; larger ones take a decimal.
+SMALL = 2**32 - 1
+# What an attribute id counts in that decimal.
 ID_SPAN = 2**64
 
 
@@ -80,15 +82,22 @@ def pivot_attributes(
     for start in range(0, len(specs), WORD):
         bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions[start : start + WORD])]
         masks.append(reduce(add, bits).cast("bigint").alias(f"mask_{start // WORD}"))
-    catalog = campos.filter(any_of(conditions)).select(F.col("id").alias("campo_id"), *masks, _place().alias("lugar"))
+    catalog = campos.filter(any_of(conditions)).select(F.col("id").alias("campo_id"), *masks)
     rows = values.join(catalog, "campo_id")
     refers = [i for i, spec in enumerate(specs) if spec.reduce == "reference"]
     if refers:
-        rows = rows.withColumn("numero", F.when(any_of([_feeds(i) for i in refers]), _numbered()))
-    reduced = [_reduced(spec, _feeds(i)).alias(column) for i, (column, spec) in enumerate(attributes.items())]
+        # NULL before every id.
+        number = F.coalesce(unsigned_cast(F.col("valor")), F.lit(-1).cast("bigint"))
+        rows = rows.withColumn("numero", F.when(any_of([_feeds(i) for i in refers]), number))
+    reduced = []
+    for i, (column, spec) in enumerate(attributes.items()):
+        reduced += [c.alias(name) for name, c in _reduced(column, spec, _feeds(i)).items()]
     wide = rows.groupBy("solicitud_id").agg(*reduced)
-    names = list(attributes)
-    return wide.withColumns({names[i]: _id_of(F.col(names[i])) for i in refers}) if refers else wide
+    if not refers:
+        return wide
+    return wide.select("solicitud_id", *[
+        _id_of(column).alias(column) if spec.reduce == "reference" else column for column, spec in attributes.items()
+    ])
 
 
 def _feeds(column: int) -> Column:
@@ -96,19 +105,14 @@ def _feeds(column: int) -> Column:
     return F.col(f"mask_{column // WORD}").bitwiseAND(F.lit(1 << column % WORD)) != 0
 
 
-def _place() -> Column:
-    """Where the numbers of an attribute's references begin: in order of attribute ids, from 0."""
-    return ((F.col("id").cast("decimal(20,0)") + F.lit(2**31)) * F.lit(Decimal(ID_SPAN))).cast("decimal(38,0)")
-
-
-def _numbered() -> Column:
-    """(attribute id, id) as one number in the same order, NULL before every id."""
-    return F.col("lugar") + F.coalesce(unsigned_cast(F.col("valor")).cast("decimal(20,0)") + F.lit(1), F.lit(0))
-
-
-def _id_of(number: Column) -> Column:
-    """The id in a number; NULL where there is none."""
-    return (F.nullif(number % F.lit(Decimal(ID_SPAN)), F.lit(0)) - F.lit(1)).cast("bigint")
+def _id_of(column: str) -> Column:
+    """The id of the least (attribute id, id) in the two forms; NULL where it is NULL or there is none."""
+    small, large = F.col(f"{column} s"), F.col(f"{column} l")
+    low = small.bitwiseAND(F.lit(2**32 - 1))
+    whole = F.shiftright(small, 32).cast("decimal(38,0)") * F.lit(Decimal(ID_SPAN))
+    both = F.least(whole + low.cast("decimal(20,0)"), large)
+    least = F.nullif(F.pmod(both, F.lit(Decimal(ID_SPAN))), F.lit(0)) - F.lit(1)
+    return F.when(large.isNull(), F.nullif(low, F.lit(0)) - 1).otherwise(least.cast("bigint"))
 
 
 def count_values(
@@ -125,9 +129,16 @@ def count_values(
     return known.groupBy("solicitud_id").agg(F.count(F.lit(1)).alias(column))
 
 
-def _reduced(spec: Attribute, wanted: Column) -> Column:
+def _reduced(column: str, spec: Attribute, wanted: Column) -> dict[str, Column]:
     if spec.reduce == "greatest":
-        return F.max(F.when(wanted, F.col("valor")))
-    if spec.reduce == "reference":
-        return F.min(F.when(wanted, F.col("numero")))
-    return F.min(F.when(wanted, F.struct("campo_id", "valor"))).getField("valor")
+        return {column: F.max(F.when(wanted, F.col("valor")))}
+    if spec.reduce == "first":
+        return {column: F.min(F.when(wanted, F.struct("campo_id", "valor"))).getField("valor")}
+    # (attribute id, id) as one number in the same order, ids from 1, 0 for NULL.
+    attribute, number = F.col("campo_id").cast("bigint"), F.col("numero")
+    small = F.shiftleft(attribute, 32).bitwiseOR(number + 1)
+    large = attribute.cast("decimal(38,0)") * F.lit(Decimal(ID_SPAN)) + number.cast("decimal(20,0)") + F.lit(1)
+    return {
+        f"{column} s": F.min(F.when(wanted & (number < SMALL), small)),
+        f"{column} l": F.min(F.when(wanted & (number >= SMALL), large.cast("decimal(38,0)"))),
+    }

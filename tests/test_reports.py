@@ -454,6 +454,24 @@ def test_export_has_every_column(spark):
     assert labelled(general_report(t), EXPORT).columns == [key for _, key in EXPORT]
 
 
+def test_references_are_the_least_attribute_then_id(spark):
+    """Ids of any size, NULL first, attribute ids in order also below 0."""
+    big = 2**62
+    values = {
+        1: [(1, "10"), (1, "9")], 2: [(1, None), (1, "5")], 3: [(2, "3"), (1, str(big))], 4: [(1, str(big)), (1, str(big - 1))],
+        5: [(2, str(big)), (1, "4")], 6: [(1, str(2**32 - 2)), (1, str(2**32 - 1))], 7: [(1, str(2**32)), (1, str(2**32 - 1))],
+        8: [(-5, "8"), (1, "2")], 9: [(1, "x"), (1, "7")], 10: [(-5, str(big)), (-5, str(big + 1)), (1, "1")], 11: [(3, "6")],
+        12: [(2, None), (1, str(big))], 13: [(1, str(2**63 - 1))],
+    }
+    t = tiny_tables(
+        spark, campos=[(1, 2, "r"), (2, 2, "r"), (-5, 2, "r"), (3, 2, "other")],
+        valores_campos=[(p, c, v) for p, rows in values.items() for c, v in rows],
+    )
+    wide = pivot_attributes(t.valores_campos, t.campos, {"r": reference("r", 2), "t": greatest("other")})
+    wanted = [9, None, big, big - 1, 4, 2**32 - 2, 2**32 - 1, 8, 0, big, None, big, 2**63 - 1]
+    assert {r.solicitud_id: r.r for r in wide.collect()} == dict(enumerate(wanted, 1))
+
+
 @pytest.mark.parametrize("broadcast_people", [True, False])
 def test_people_in_every_role(spark, broadcast_people):
     t = tiny_tables(
