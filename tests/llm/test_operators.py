@@ -91,6 +91,30 @@ def test_suffix_array(seed):
         assert n // 8 == same // 8 or len(a) < 56 or len(b) < 56
 
 
+def test_anchors_of_long_texts():
+    """As if each row stood alone, also across blocks; and in memory that does not grow by several numbers a byte."""
+    import tracemalloc
+
+    values = np.random.default_rng(5)
+    texts = [values.integers(97, 100, n).astype(np.uint8) for n in (0, 49, 50, 70_000, 51, 3, 131_200, 66, 2_000_000)]
+    texts[6][:60_000] = texts[3][5000:65_000]
+    data, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    tracemalloc.start()
+    hashes, row, low, high = suffix_dedup.anchors(data, offsets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * len(data)
+    for i, text in enumerate(texts):
+        mine = row == i
+        starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(low[mine], high[mine])] or [np.zeros(0, int)])
+        assert (starts == np.arange(max(0, len(text) - 49))).all()
+        alone = suffix_dedup.anchors(text, np.array([0, len(text)]))
+        assert [x.tolist() for x in (hashes[mine], low[mine], high[mine])] == [x.tolist() for x in (alone[0], *alone[2:])]
+    # Equal stretches have equal anchors.
+    named = [np.repeat(hashes[row == i], (high - low + 1)[row == i]) for i in (3, 6)]
+    assert (named[0][5000 : 65_000 - 49] == named[1][: 60_000 - 49]).all()
+
+
 def test_exact_groups(docs, nothing, spark):
     found, groups = by_id(exact_dedup.duplicate_groups(docs)), defaultdict(list)
     for doc_id, text, *_ in rows():
