@@ -160,15 +160,15 @@ def packed(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
     """A row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded``."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with small_batches(spark):
-        pieces = stored(texts.mapInArrow(lean(_pieces(vocabulary, end)), PIECES), "pieces")
-
     unit = SEQUENCE // CLASSES
     kind = F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.ceil(F.col("length") / unit) + SHORT).cast("int")
     buckets = max(64, partitions(spark))
     # Equal rows differ by no column, so the bucket of a repeated row is drawn from its place.
     spread = F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
-    pieces = stored(pieces.select("*", kind.alias("kind"), spread.alias("bucket")), "classes")
+    # Written once, with class and bucket: each file made has its cost on an executor.
+    pieces = texts.mapInArrow(lean(_pieces(vocabulary, end)), PIECES)
+    with small_batches(spark):
+        pieces = stored(pieces.select("*", kind.alias("kind"), spread.alias("bucket")), "pieces")
     sizes = pieces.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n"))
     demand = {r.kind: r.n for r in sizes.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     planned = items(demand, unit)

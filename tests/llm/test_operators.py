@@ -346,6 +346,13 @@ def test_packing(docs, nothing):
     assert packing.packed(nothing, vocabulary("word_bpe_49k.json")).isEmpty()
 
 
+def test_packing_writes_pieces_once(docs, monkeypatch):
+    names = []
+    monkeypatch.setattr(packing, "stored", lambda frame, name, keep=packing.stored: names.append(name) or keep(frame, name))
+    assert packing.packed(docs, vocabulary("word_bpe_49k.json")).select("doc_id").distinct().count() == len(rows())
+    assert names == ["pieces"]
+
+
 @pytest.mark.parametrize("text, rows, sequences", [("", 5000, 2), ("a " * 8, 3000, 7), ("a " * 40, 1000, 11)])
 def test_packing_short_texts(spark, text, rows, sequences):
     docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
