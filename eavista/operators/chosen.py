@@ -19,7 +19,8 @@ ID_BYTES = 32
 BITS_PER_ID = 16
 MOST_BITS = 1 << 29
 # Bits of one row of the bitmap: what Spark's bitmap aggregate makes.
-ROW_BITS = 32_768
+ROW_SHIFT = 15
+ROW_BITS = 1 << ROW_SHIFT
 
 
 @dataclass(frozen=True)
@@ -34,14 +35,13 @@ class Chosen:
         """The rows of ``frame`` whose ``key`` is chosen; with a bitmap, a few others too."""
         if not self.bits:
             return frame.join(self.sift.withColumnRenamed("id", key), key, "left_semi")
+        # A semi join, so that Spark can hold rows back before they are exploded or computed.
         place = _place(F.col(key), self.bits)
-        position = place % ROW_BITS
-        byte = F.substring(F.col("mapa"), F.floor(position / 8).cast("int") + 1, F.lit(1))
-        number = F.conv(F.hex(byte), 16, 10).cast("int")
-        found = F.expr("shiftright(_numero, _lugar)").bitwiseAND(F.lit(1)) == 1
-        met = frame.join(self.sift, F.floor(place / ROW_BITS) == F.col("fila_mapa"))
-        met = met.withColumns({"_numero": number, "_lugar": (position % 8).cast("int")})
-        return met.filter(found).select(*[frame[c] for c in frame.columns])
+        position = place.bitwiseAND(F.lit(ROW_BITS - 1))
+        number = F.get(F.col("mapa"), F.shiftright(position, 6).cast("int"))
+        bit = F.call_function("shiftright", number, position.bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(56)).cast("int"))
+        same_row = F.shiftright(place, ROW_SHIFT) == F.col("fila_mapa")
+        return frame.join(self.sift, same_row & (bit.bitwiseAND(F.lit(1)) == 1), "left_semi")
 
 
 def choose(ids: DataFrame, limit: int | None = None) -> Chosen:
@@ -52,12 +52,19 @@ def choose(ids: DataFrame, limit: int | None = None) -> Chosen:
         return Chosen(F.broadcast(ids), count)
     bits = min(MOST_BITS, max(ROW_BITS, 1 << (count * BITS_PER_ID - 1).bit_length()))
     place = _place(F.col("id"), bits)
-    rows = ids.groupBy(F.floor(place / ROW_BITS).alias("fila_mapa")).agg(
-        F.bitmap_construct_agg((place % ROW_BITS).cast("long")).alias("mapa")
+    rows = ids.groupBy(F.shiftright(place, ROW_SHIFT).alias("fila_mapa")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit(ROW_BITS - 1))).alias("mapa")
     )
+    # As numbers of 64 bits, the first of eight bytes highest: a row's test reads one number.
+    each = F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1))
+    rows = rows.select("fila_mapa", F.transform(each, lambda i: _number("mapa", i)).alias("mapa"))
     # At most MOST_BITS / 8 bytes.
     return Chosen(F.broadcast(written(rows)), count, bits)
 
 
+def _number(column: str, i: Column) -> Column:
+    return F.conv(F.hex(F.substring(column, 8 * i + 1, F.lit(8))), 16, -10).cast("bigint")
+
+
 def _place(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key.cast("long")), F.lit(bits))

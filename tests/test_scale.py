@@ -144,6 +144,16 @@ def test_chosen_rows_are_held_back(spark, limit):
     assert chosen.choose(ids.filter("id < 0"), limit).rows(rows, "k").isEmpty()
 
 
+def test_bitmap_sifts_by_semi_join(spark):
+    """Rows meet the bitmap in a semi join, and its test of a row reads a number, no text."""
+    ids = spark.range(0, 90_000, 9)
+    kept = chosen.choose(ids, 0).rows(spark.range(90_000).withColumnRenamed("id", "k"), "k")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "conv(" not in plan and "hex(" not in plan
+    found = {r.k for r in kept.collect()}
+    assert found >= set(range(0, 90_000, 9)) and len(found) < 20_000
+
+
 @pytest.mark.parametrize("limit", [None, 0])
 def test_filtered_report_reads_the_chosen_projects_values(spark, stored, monkeypatch, limit):
     """Values, milestones, links and titles of others do not reach the aggregations."""
